@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,30 @@ def class_sample(rows: DataFrame, label: str, per_class: int, key: str = "doc_id
     for k, share in shares.items():
         chosen = F.when(F.col(label) == F.lit(k), unit_hash(key, seed=seed) < share).otherwise(chosen)
     return rows.where(chosen), shares
+
+
+#: Bits of a membership filter: 16 MB at most on the driver and on each executor, whatever the number of keys.
+FILTER_BITS = 27
+
+
+def maybe_in(keys: DataFrame, key: str):
+    """A function of a Column of longs: false only where its value is surely not among keys.key.
+
+    The filter is an array of 2**FILTER_BITS bits, gathered as at most 2**(FILTER_BITS - 6) words of 64 bits that are
+    combined before the shuffle. With more keys than bits it says yes more often, and the exact join that must follow
+    moves more rows.
+    """
+    spark = keys.sparkSession
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(31), F.col(key)), 64 - FILTER_BITS)
+    words = keys.where(F.col(key).isNotNull()).select(F.shiftright(place, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    held = spark.sparkContext.broadcast(bits.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def inside(place: pd.Series) -> pd.Series:
+        at = place.to_numpy(np.int64, na_value=0)
+        return pd.Series(held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) != 0)
+
+    return lambda c: inside(F.coalesce(F.shiftrightunsigned(F.xxhash64(F.lit(31), c), 64 - FILTER_BITS), F.lit(0)))

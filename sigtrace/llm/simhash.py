@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, written
+from .common import bounded_batches, maybe_in, written
 from .components import components
 
 SEED = 42
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, text_col
     linked = components(links(classes.select("fp"), distance))
     rooted = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "root", "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    labels = classes.join(named, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("component_id", "least").alias("component_id"))
+    labels = written(classes.join(named, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("component_id", "least").alias("component_id")), "labels")
     return prints.join(labels, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
@@ -186,13 +186,14 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, text_
     cut = classes.select("rep", "wide", F.array(*block).alias("b"))
     keys = F.array(*[F.lit(t << 32).bitwiseOR(F.shiftleft(F.get("b", F.lit(i)), 16)).bitwiseOR(F.get("b", F.lit(j))) for t, (i, j) in enumerate(combinations(range(WIDE_BLOCKS), 2))])
     keyed = cut.select("rep", F.explode(keys).alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    meets = keyed.join(firsts, "key").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")).distinct()
+    firsts = written(keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first"), "firsts")
+    meets = keyed.where(maybe_in(firsts, "key")(F.col("key"))).join(firsts, "key").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")).distinct()
     wide = classes.select("rep", "wide")
     near = meets.join(wide.select(F.col("rep").alias("u"), F.col("wide").alias("wu")), "u").join(wide.select(F.col("rep").alias("v"), F.col("wide").alias("wv")), "v")
     far = sum((F.bit_count(_word(F.col("wu"), k).bitwiseXOR(_word(F.col("wv"), k))) for k in range(WIDE_BYTES // 4)), F.lit(0))
     near = written(near.where(far <= int(WIDE_MOST * 8 * WIDE_BYTES)).select("u", "v"), "near")
     needed = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
+    rows = rows.where(maybe_in(needed, "id")(F.col("id")))
 
     def spelled(batches):
         for b in batches:
@@ -216,7 +217,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, text_
             yield pa.RecordBatch.from_arrays([u.take(keep), v.take(keep)], names=["u", "v"])
 
     linked = components(both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"))
-    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
+    named = written(classes.join(linked, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "labels")
     return prints.select("id", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
 
 
