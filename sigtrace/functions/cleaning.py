@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import marks as M
 
@@ -28,7 +29,7 @@ _JOINERS = r"[\x{200D}\x{FE0F}]"
 _DROP = rf"[{M.TAGS}{M.SELECTORS_MORE}\x{{FE00}}-\x{{FE0E}}{M.ZERO_WIDTH_BUT_JOINER}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, which has no built-in function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -1 +1,122 @@
-QUERIES = {}
+"""Queries over small synthetic files, made here, for what the tables do not hold."""
+
+from __future__ import annotations
+
+import io
+import struct
+import wave
+import zipfile
+import zlib
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+
+from .. import api
+from ..operators import containers, kinds, signals
+
+
+def docx() -> bytes:
+    parts = {
+        "[Content_Types].xml": '<Types><Override PartName="/docProps/custom.xml" ContentType="x"/></Types>',
+        "_rels/.rels": '<Relationships><Relationship Id="r1" Target="http://t.example/p.png?u=1" TargetMode="External"/></Relationships>',
+        "word/document.xml": '<w:document><w:p w:rsidR="00A1" w14:paraId="1A2B"><w:ins w:author="Kim" w:date="2024-01-02T03:04:05Z"><w:t>Body text</w:t></w:ins></w:p></w:document>',
+        "word/settings.xml": '<w:settings><w:rsids><w:rsid w:val="00A1"/></w:rsids></w:settings>',
+        "docProps/core.xml": "<c><dc:title>Plan</dc:title><dc:creator>Kim Doe</dc:creator><dcterms:created>2024-01-02</dcterms:created></c>",
+        "docProps/app.xml": "<Properties><Application>Office</Application><Company>Acme</Company></Properties>",
+        "docProps/custom.xml": '<Properties><property name="Client"/></Properties>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(zipfile.ZipInfo(name), body)
+    return out.getvalue()
+
+
+def png(extra: dict[str, bytes] | None = None) -> bytes:
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    more = b"".join(chunk(t.encode(), d) for t, d in (extra or {}).items())
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + more + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def wav(hertz: float | None, seconds: int = 4, rate: int = 44100) -> bytes:
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.05, rate * seconds)
+    if hertz:
+        x += 0.03 * np.sin(2 * np.pi * hertz * np.arange(len(x)) / rate)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def id3() -> bytes:
+    frame = lambda n, b: n + struct.pack(">I", len(b)) + b"\0\0" + b
+    body = frame(b"PRIV", b"shop\0user-173") + frame(b"UFID", b"http://db.example\0id-9") + frame(b"TPE1", b"\0Kim Doe") + frame(b"TSSE", b"\0enc 1.0")
+    n = len(body)
+    return b"ID3\x03\0\0" + bytes([(n >> 21) & 127, (n >> 14) & 127, (n >> 7) & 127, n & 127]) + body
+
+
+def exif() -> bytes:
+    """A little TIFF structure with an artist, a camera serial number and a latitude."""
+    artist, serial = b"Kim Doe\0", b"SN-12345\0"
+    main = 8
+    camera = main + 2 + 3 * 12 + 4
+    place = camera + 2 + 12 + 4
+    data = place + 2 + 2 * 12 + 4
+    e = lambda tag, kind, n, v: struct.pack("<HHI", tag, kind, n) + (v if isinstance(v, bytes) else struct.pack("<I", v))
+    out = b"II*\0" + struct.pack("<I", main)
+    out += struct.pack("<H", 3) + e(0x013B, 2, len(artist), data) + e(0x8769, 4, 1, camera) + e(0x8825, 4, 1, place) + b"\0" * 4
+    out += struct.pack("<H", 1) + e(0xA431, 2, len(serial), data + len(artist)) + b"\0" * 4
+    out += struct.pack("<H", 2) + e(1, 2, 2, b"N\0\0\0") + e(2, 5, 3, data + len(artist) + len(serial)) + b"\0" * 4
+    return out + artist + serial + struct.pack("<6I", 52, 1, 31, 1, 12, 1)
+
+
+def pdf() -> bytes:
+    stream = zlib.compress(b"BT 3 Tr /F1 0.2 Tf (hidden) Tj ET")
+    return b"%PDF-1.4\n1 0 obj<</Type/Catalog/OpenAction<</S/JavaScript/JS(app.alert)>>>>endobj\n2 0 obj<</Author(Kim Doe)/Producer(Tool)/CreationDate(D:2024)>>endobj\n3 0 obj<</A<</S/URI/URI(http://x.example/?utm_source=1)>>>>endobj\n4 0 obj<</Length 1>>stream\n" + stream + b"endstream endobj\ntrailer<</Info 2 0 R/ID[<01><02>]>>"
+
+
+def picture(carrier: bool, size: int = 256) -> bytes:
+    """A BGR gradient with noise, with or without three weak waves."""
+    rng = np.random.default_rng(1)
+    y, x = np.mgrid[:size, :size]
+    a = 80 + 60 * x / size + 40 * y / size + rng.normal(0, 4, (size, size))
+    if carrier:
+        for u, v in ((31, 47), (53, -29), (71, 64)):
+            a += 2.5 * np.sin(2 * np.pi * (u * x + v * y) / size)
+    return np.repeat(np.clip(a, 0, 255).astype(np.uint8)[..., None], 3, axis=2).tobytes()
+
+
+def dots(h: int = 600, w: int = 800, step: int = 60) -> bytes:
+    a = np.full((h, w, 3), 255, np.uint8)
+    for y in range(20, h - 2, step):
+        for x in range(20, w - 2, step):
+            a[y : y + 2, x : x + 2] = (60, 255, 255)
+    return a.tobytes()
+
+
+def files(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("a/plan.docx", docx()), ("a/plain.png", png()), ("a/signed.png", png({"caBX": b"jumbc2pa by Digimarc"})), ("a/place.png", png({"eXIf": exif()})),
+        ("a/made.png", png({"tEXt": b"parameters\0steps 20, Stable Diffusion"})), ("a/tone.wav", wav(18500)), ("a/noise.wav", wav(None)), ("a/song.mp3", id3()), ("a/note.pdf", pdf()),
+        ("a/hello.txt", "he​llo pаssword  x".encode()), ("a/bm.txt", b"BM is not always a picture"), ("a/movie.mp4", b"\0\0\0\x10ftypisom\0\0\0\0"), ("a/still.avif", b"\0\0\0\x10ftypavif\0\0\0\0"), ("a/odd.bin", b"\xff\xfe\x00\x81"),
+    ]
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+
+
+def pictures(spark: SparkSession) -> DataFrame:
+    rows = [("plain", 256, 256, 3, picture(False)), ("carrier", 256, 256, 3, picture(True)), ("dots", 600, 800, 3, dots())]
+    return spark.createDataFrame([(a, h, w, c, bytearray(d)) for a, h, w, c, d in rows], "origin string, height int, width int, nChannels int, data binary")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "kind_dispatch": lambda s, d: kinds.with_kind(files(s)).select("path", "kind"),
+    "file_findings": lambda s, d: api.analyze(files(s)),
+    "file_cleaning": lambda s, d: api.clean(files(s)).select("path", "kind", "status"),
+    "png_chunks": lambda s, d: containers.parts(files(s), containers.png_chunks).select("path", "ordinal", "part_type"),
+    "picture_findings": lambda s, d: signals.picture_findings(pictures(s)),
+}
