@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound on the text that one Arrow batch carries to a Python worker, whatever the row count.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +59,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(scan):
+    """The scan, after which a Python worker gives its free memory back before it goes on to other work."""
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds (null ids: fold 0)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -83,8 +105,8 @@ def class_sample(rows: DataFrame, label: str, per_class: int, key: str = "doc_id
     return rows.where(chosen), shares
 
 
-#: Bits of a membership filter: 16 MB at most on the driver and on each executor, whatever the number of keys.
-FILTER_BITS = 27
+#: Bits of a membership filter: 8 MB at most on the driver and on each executor, whatever the number of keys.
+FILTER_BITS = 26
 
 
 def maybe_in(keys: DataFrame, key: str):

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, class_sample
+from .common import bounded_batches, class_sample, lean
+from .tokens import forget
 
 #: Labelled rows taken from each language at most (in expectation), for fitting and calibration together.
 SAMPLE_PER_LANGUAGE = 800
@@ -164,7 +165,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", key: s
                     counts.append(np.fromiter(seen.values(), np.float32, len(seen)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["label", "ids", "counts"])
 
-    got = chosen.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).mapInArrow(count, schema).collect()
+    got = chosen.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).mapInArrow(lean(count), schema).collect()
     got.sort(key=lambda r: (r["label"], bytes(r["ids"])))
     classes = sorted({r["label"] for r in got})
     if not classes:
@@ -186,6 +187,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
+        forget()
         m = held.value
         score = m.scorer()
         for b in batches:
@@ -195,4 +197,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             out = pa.array([k < 0 or p < m.least for k, p in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns, pred, prob, out], names=[f.name for f in schema])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lean(scan), schema)

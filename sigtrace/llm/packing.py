@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, written
+from .common import bounded_batches, lean, written
 from .tokens import encoder, vocabulary
 
 #: Short pieces packed together in one task; the number of tasks grows with the input.
@@ -53,7 +53,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text_
             made = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *([pa.array(ids, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), *made], names=[f.name for f in schema])
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, class_sample, unit_hash
+from .common import bounded_batches, class_sample, lean, unit_hash
 from .toxicity import add_score
 
 #: Trusted positives and unlabelled rows taken at most (in expectation).
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("trusted"), pa.array([features(t).astype(np.float32).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["trusted", "x"])
 
-    got = sorted(chosen.mapInArrow(scan, "trusted int, x binary").collect(), key=lambda r: (r["trusted"], bytes(r["x"])))
+    got = sorted(chosen.mapInArrow(lean(scan), "trusted int, x binary").collect(), key=lambda r: (r["trusted"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(np.float64) if got else np.zeros((0, WIDTH))
     mark = np.array([r["trusted"] for r in got], bool)
     if not mark.any():

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, maybe_in, written
+from .common import bounded_batches, lean, maybe_in, written
 from .components import components
+from .tokens import forget
 
 SEED = 42
 #: Shingles counted at once: bounds the memory that one very long text takes.
@@ -54,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", keep:
             found = np.array([fingerprint(t, words) for t in b.column("__text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found)], names=[*keep, out])
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def block_keys(fp: Column, distance: int, blocks: int) -> Column:
@@ -170,6 +171,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, text_
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1)).alias("id"), text.alias("text"))
 
     def scan(batches):
+        forget()
         for b in batches:
             h1, h2, wide = [], [], []
             for t in b.column("text").to_pylist():
@@ -180,7 +182,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, text_
                 wide.append(wide_fingerprint(parts))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(wide, pa.binary())], names=["id", "h1", "h2", "wide"])
 
-    prints = written(rows.mapInArrow(scan, "id long, h1 long, h2 long, wide binary"), "wide")
+    prints = written(rows.mapInArrow(lean(scan), "id long, h1 long, h2 long, wide binary"), "wide")
     classes = written(prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("wide").alias("wide")), "classes")
     block = [F.expr(f"cast(conv(hex(substring(wide, {2 * i + 1}, 2)), 16, 10) as long)") for i in range(WIDE_BLOCKS)]
     cut = classes.select("rep", "wide", F.array(*block).alias("b"))
@@ -200,7 +202,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, text_
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles((t or b"").lower().split(), words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "s"])
 
     # Rows that share an id may differ in text; one text stands for the id in each comparison.
-    texts = rows.join(needed, "id", "left_semi").mapInArrow(spelled, "id long, s binary")
+    texts = rows.join(needed, "id", "left_semi").mapInArrow(lean(spelled), "id long, s binary")
     texts = written(texts.groupBy("id").agg(F.max("s").alias("s")), "shingles")
     both = near.join(texts.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
 
@@ -216,7 +218,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, text_
             keep = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([u.take(keep), v.take(keep)], names=["u", "v"])
 
-    linked = components(both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"))
+    linked = components(both.select("u", "v", "su", "sv").mapInArrow(lean(verify), "u long, v long"))
     named = written(classes.join(linked, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "labels")
     return prints.select("id", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 from .tokens import encoder, vocabulary
 
 #: Ids in a block; a block is what one step of the scan looks at.
@@ -58,7 +58,7 @@ def write_flat(docs: DataFrame, path: str | None = None, end_id: int = END_ID, b
         if held:
             yield row(np.concatenate(parts), names)
 
-    return rows.mapInArrow(write, "file_id int, block long, ids binary, doc_ids array<long>")
+    return rows.mapInArrow(lean(write), "file_id int, block long, ids binary, doc_ids array<long>")
 
 
 def read_flat(spark: SparkSession, where: str, block_ids: int = BLOCK_IDS, width: int = 2) -> DataFrame:
@@ -93,7 +93,7 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, block_ids: int = BLOCK
                 ends.append(np.flatnonzero(a == end_id) + k * block_ids)
             yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("block"), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64())), *(b.column(c) for c in extra)], names=[f.name for f in schema])
 
-    found = blocks.select("file_id", F.col("block").cast("long").alias("block"), "ids", *extra).mapInArrow(scan, schema)
+    found = blocks.select("file_id", F.col("block").cast("long").alias("block"), "ids", *extra).mapInArrow(lean(scan), schema)
     found = found.withColumn("n", F.size("ends")).withColumn("last", F.when(F.size("ends") > 0, F.element_at("ends", -1)))
     found = found.withColumn("grp", F.floor(F.col("block") / GROUP_BLOCKS))
     groups = found.groupBy("file_id", "grp").agg(F.max("last").alias("g_last"), F.sum("n").alias("g_n"), F.sum("n_ids").alias("g_ids"), F.max("block").alias("g_block"))

@@ -75,3 +75,8 @@ def encoder(path: str, plain_specials: bool = False) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, plain_specials)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drops this process's encoders; called where a worker turns to work without tokens."""
+    _encoders.clear()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, written
+from .common import bounded_batches, discard, lean, written
 
 #: Rows in a block of candidates and of queries; a pair of blocks is one step of the search.
 CANDIDATES, QUERIES = 2048, 512
@@ -52,7 +52,7 @@ def blocks_of(rows: DataFrame, number: str, size: int) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return rows.mapInArrow(pack, f"{number} long, dim int, ids binary, q binary")
+    return rows.mapInArrow(lean(pack), f"{number} long, dim int, ids binary, q binary")
 
 
 def summaries(x: np.ndarray) -> list[np.ndarray]:
@@ -175,12 +175,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     ask = asks.select("ask", "dim", F.col("ids").alias("qids"), F.col("q").alias("qq"))
     first = cands.groupBy("dim").agg(F.min_by(F.struct("ids", "q"), F.struct(-F.length("ids"), F.col("cand"))).alias("c")).select("dim", "c.ids", "c.q")
-    floored = written(ask.repartition(parts, "ask").join(F.broadcast(first), "dim").mapInArrow(floors, "ask long, dim int, qids binary, qq binary, floor binary"), "floors")
+    floored = written(ask.repartition(parts, "ask").join(F.broadcast(first), "dim").mapInArrow(lean(floors), "ask long, dim int, qids binary, qq binary, floor binary"), "floors")
     # Each query block goes to every group of candidate blocks, each candidate block to one of them.
     groups = max(1, min(parts * 4, cands.count()))
     sent = floored.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     held = cands.withColumn("grp", F.pmod(F.xxhash64("cand", "dim", F.crc32("ids")), F.lit(groups)).cast("int")).select("grp", "dim", "ids", "q")
-    found = sent.join(held.hint("merge"), ["grp", "dim"]).select("qids", "qq", "floor", "ids", "q").mapInArrow(meet, schema)
+    found = sent.join(held.hint("merge"), ["grp", "dim"]).select("qids", "qq", "floor", "ids", "q").mapInArrow(lean(meet), schema)
     near = written(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "near")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     out = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

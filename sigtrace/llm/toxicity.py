@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, class_sample
+from .common import bounded_batches, class_sample, lean
 from .langid import words_of
+from .tokens import forget
 
 #: Labelled rows taken of each label value at most (in expectation), for fitting and calibration together.
 SAMPLE_PER_CLASS = 4000
@@ -148,7 +149,7 @@ def sampled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: int
             ids = [terms(t).astype(np.int32).tobytes() for t in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__key").cast(pa.string()), b.column("__label"), pa.array(ids, pa.binary())], names=["key", "label", "ids"])
 
-    got = sorted(both.mapInArrow(scan, "key string, label int, ids binary").collect(), key=lambda r: (r["key"], r["label"], bytes(r["ids"])))
+    got = sorted(both.mapInArrow(lean(scan), "key string, label int, ids binary").collect(), key=lambda r: (r["key"], r["label"], bytes(r["ids"])))
     y = np.array([r["label"] for r in got], np.int64)
     return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in got], y, np.array([1 / shares[int(k)] for k in y])
 
@@ -172,12 +173,13 @@ def add_score(docs: DataFrame, model, out: str, text_col: str = "text") -> DataF
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
+        forget()
         score = held.value.score
         for b in batches:
             found = [score(t) for t in b.column(names.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[f.name for f in schema])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lean(scan), schema)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least: float = 0.3) -> DataFrame:
