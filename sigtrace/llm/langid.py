@@ -17,7 +17,7 @@ from .tokens import forget
 
 #: Labelled rows taken from each language at most (in expectation), for fitting and calibration together.
 SAMPLE_PER_LANGUAGE = 800
-BUCKETS, WIDTH = 1 << 16, 16
+BUCKETS, WIDTH = 1 << 18, 16
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,25 +37,26 @@ def words_of(text: str) -> list[str]:
 def grams(word: str) -> list[int]:
     """Buckets of a word's subwords: 1 to 4 letters within < and >, and the whole word."""
     w = f"<{word}>"
-    parts = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    parts.append(w)
+    parts = [*word, *(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)), w]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
 @dataclass
 class LanguageModel:
-    """classes, the table of each bucket's logits (embedding times softmax weights), bias, temperature, least score."""
+    """classes, the table of each bucket's logits (embedding times softmax weights), temperature, least score,
+    which buckets training saw, and the least share of a text's subwords that must be among them."""
 
     classes: list[str]
     table: np.ndarray
-    bias: np.ndarray
     temperature: float
     least: float
+    seen: np.ndarray
+    least_seen: float
 
     def scorer(self):
-        """A function from texts to (class number or -1, probability); it remembers frequent words."""
+        """A function from texts to (class number or -1, probability, share of subwords seen); it remembers frequent words."""
         known: dict[str, int] = {}
-        rows = np.zeros((CACHED_WORDS + 1, self.table.shape[1] + 1))
+        rows = np.zeros((CACHED_WORDS + 1, self.table.shape[1] + 2))
 
         def numbers(found: list[str]) -> np.ndarray:
             get, out = known.get, []
@@ -64,23 +65,24 @@ class LanguageModel:
                 if k is None:
                     k = known[w] = len(known)
                     g = grams(w)
-                    rows[k, :-1] = self.table[g].sum(axis=0)
-                    rows[k, -1] = len(g)
+                    rows[k, :-2] = self.table[g].sum(axis=0)
+                    rows[k, -2] = len(g)
+                    rows[k, -1] = self.seen[g].sum()
                 out.append(k)
             return np.array(out, np.int64)
 
-        def score(text: str | None) -> tuple[int, float]:
+        def score(text: str | None) -> tuple[int, float, float]:
             found = words_of(text or "")
             if not found:
-                return -1, 0.0
+                return -1, 0.0, 0.0
             total = np.zeros(rows.shape[1])
             for at in range(0, len(found), 100_000):
                 part = found[at : at + 100_000]
                 if len(known) + len(part) > CACHED_WORDS:
                     known.clear()
                 total += rows[numbers(part)].sum(axis=0)
-            p = softmax((total[:-1] / total[-1] + self.bias)[None] / self.temperature)[0]
-            return int(p.argmax()), float(p.max())
+            p = softmax((total[:-2] / total[-2])[None] / self.temperature)[0]
+            return int(p.argmax()), float(p.max()), float(total[-1] / total[-2])
 
         return score
 
@@ -93,7 +95,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: list[str], epochs: int = 5, rate: float = 20.0, seed: int = 3) -> LanguageModel:
     """texts: per document, its buckets and their counts. One in five rows is kept for calibration.
 
-    Embeddings start at zero: subwords never seen say nothing, so that an unknown script stays near the class shares.
+    Embeddings start at zero, there is no bias and classes weigh the same: subwords never seen say nothing, so that an
+    unknown script stays near equal chances.
     """
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -102,7 +105,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
         held = fit = order
     embed = np.zeros((BUCKETS, WIDTH))
     weight = rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, len(classes)))
-    bias = np.zeros(len(classes))
+    balance = len(fit) / (len(classes) * np.maximum(np.bincount(labels[fit], minlength=len(classes)), 1))
 
     def means(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids = np.concatenate([texts[i][0] for i in rows])
@@ -118,15 +121,16 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
         for at in range(0, len(fit), 16):
             rows = fit[at : at + 16]
             ids, share, seg, mean = means(rows)
-            wrong = softmax(mean @ weight + bias)
+            wrong = softmax(mean @ weight)
             wrong[np.arange(len(rows)), labels[rows]] -= 1
-            wrong /= len(rows)
+            wrong *= balance[labels[rows], None] / len(rows)
             back = wrong @ weight.T
             weight -= step * 0.05 * mean.T @ wrong
-            bias -= step * 0.005 * wrong.sum(axis=0)
             np.add.at(embed, ids, -step * share[:, None] * back[seg])
-    logits = np.concatenate([means(held[i : i + 64])[3] @ weight + bias for i in range(0, len(held), 64)]) if len(held) else np.zeros((0, len(classes)))
-    temperature, least = 1.0, 0.0
+    logits = np.concatenate([means(held[i : i + 64])[3] @ weight for i in range(0, len(held), 64)]) if len(held) else np.zeros((0, len(classes)))
+    seen = np.zeros(BUCKETS, bool)
+    seen[np.concatenate([texts[i][0] for i in fit])] = True
+    temperature, least, least_seen = 1.0, 0.0, 0.0
     if len(held):
         y = labels[held]
         grid = np.geomspace(0.05, 5, 60)
@@ -135,7 +139,9 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
         right = p.max(axis=1)[p.argmax(axis=1) == y]
         if len(right):
             least = float(min(0.5, 0.9 * right.min()))
-    return LanguageModel(classes, (embed @ weight).astype(np.float64), bias, temperature, least)
+        shares = np.array([(texts[i][1] * seen[texts[i][0]]).sum() / texts[i][1].sum() for i in held])
+        least_seen = float(min(0.6, 0.9 * shares.min()))
+    return LanguageModel(classes, (embed @ weight).astype(np.float64), temperature, least, seen, least_seen)
 
 
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", key: str = "doc_id", per_class: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
@@ -169,7 +175,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", key: s
     got.sort(key=lambda r: (r["label"], bytes(r["ids"])))
     classes = sorted({r["label"] for r in got})
     if not classes:
-        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return LanguageModel([], np.zeros((BUCKETS, 0)), 1.0, 0.0, np.zeros(BUCKETS, bool), 0.0)
     texts = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got]
     number = {c: i for i, c in enumerate(classes)}
     return train(texts, np.array([number[r["label"]] for r in got]), classes)
@@ -178,10 +184,13 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", key: s
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred (a learned language; ``und`` without any letter), lang_score and lang_rejected.
 
-    lang_score is the calibrated probability. Rejected: no letter, no language learned, or a score below what every
-    calibration row of a right answer had (times 0.9, 0.5 at most). Other columns pass unchanged and are never read.
+    lang_score is the calibrated probability. Rejected: no letter, no language learned, or a score not above what every
+    calibration row of a right answer had (times 0.9, 0.5 at most), or fewer of its subwords known from training than any
+    calibration row had (times 0.9, 0.6 at most). Other columns pass unchanged and are never read; columns
+    of the three new names are replaced.
     """
     bounded_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     names = docs.columns
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -191,10 +200,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         m = held.value
         score = m.scorer()
         for b in batches:
-            found = [score(t) if m.classes else (-1, 0.0) for t in b.column(names.index(text_col)).to_pylist()]
-            pred = pa.array([m.classes[k] if k >= 0 else UNDETERMINED for k, _ in found], pa.string())
-            prob = pa.array([p for _, p in found], pa.float64())
-            out = pa.array([k < 0 or p < m.least for k, p in found], pa.bool_())
+            found = [score(t) if m.classes else (-1, 0.0, 0.0) for t in b.column(names.index(text_col)).to_pylist()]
+            pred = pa.array([m.classes[k] if k >= 0 else UNDETERMINED for k, _, _ in found], pa.string())
+            prob = pa.array([p for _, p, _ in found], pa.float64())
+            out = pa.array([k < 0 or p <= m.least or s < m.least_seen for k, p, s in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns, pred, prob, out], names=[f.name for f in schema])
 
     return docs.mapInArrow(lean(scan), schema)

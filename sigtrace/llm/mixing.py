@@ -135,8 +135,9 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "sour
     seed, key and source). Its whole passes take all of them, the partial pass those up to a place in that order, so a
     row is taken at most three times and reruns agree. Blocks of the order are the unit of the splitting tree: draw d of
     a source is block d modulo its blocks in pass d div its blocks, and an output shard draws a range of them, so shards
-    are disjoint. Null sources are one source, null and empty texts have size 0; repeated rows share their fate.
+    are disjoint. Columns of the five new names are replaced. Null sources are one source, null and empty texts have size 0; repeated rows share their fate.
     """
+    docs = docs.drop("size", "source_size", "target", "copies", "draws")
     names = docs.columns
     order = key62(*key, F.col(source), seed=seed)
     sized = written(docs.select(*key, source, word_count(text_col).alias("size")).withColumn("__order", order).select(source, "size", "__order"), "sizes")
@@ -150,7 +151,7 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "sour
     copies = F.col("__passes") + (F.col("__order") <= F.col("__upto")).cast("int")
     rows = rows.withColumn("copies", copies).withColumn("__block", block)
     draws = F.expr("transform(sequence(1, copies), p -> struct(cast(p - 1 as int) as pass, cast(size(filter(__starts, x -> x <= (p - 1) * __blocks + __block)) - 1 as int) as shard))")
-    return rows.withColumn("draws", F.when(F.col("copies") > 0, draws).otherwise(F.expr("array()").cast("array<struct<pass:int,shard:int>>"))).select(*names, *[c for c in ("size", "source_size", "target", "copies", "draws") if c not in names])
+    return rows.withColumn("draws", F.when(F.col("copies") > 0, draws).otherwise(F.expr("array()").cast("array<struct<pass:int,shard:int>>"))).select(*names, "size", "source_size", "target", "copies", "draws")
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "source", text_col: str = "text", key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -158,6 +159,8 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "source
 
     Writing it partitioned by out_shard and sorted by shuffle_key within tasks is the local shuffle.
     """
-    names = docs.columns
-    drawn = mixed(docs, shards, seed, source, text_col, key).select(*names, F.explode("draws").alias("__draw"))
+    names = [c for c in docs.columns if c not in ("out_shard", "shuffle_key")]
+    inner = {c: f"__own_{i}" for i, c in enumerate(names) if c in ("size", "source_size", "target", "copies", "draws")}
+    drawn = mixed(docs.withColumnsRenamed(inner), shards, seed, source, text_col, key).withColumnRenamed("draws", "__drawn")
+    drawn = drawn.drop("size", "source_size", "target", "copies").withColumnsRenamed({v: k for k, v in inner.items()}).select(*names, F.explode("__drawn").alias("__draw"))
     return drawn.select(*names, F.col("__draw.shard").alias("out_shard"), F.xxhash64(F.lit(seed), F.col("__draw.pass"), *[F.col(c) for c in key]).alias("shuffle_key"))

@@ -166,8 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 
 def add_score(docs: DataFrame, model, out: str, text_col: str = "text") -> DataFrame:
-    """docs with one more column: model.score of the whole text (null and empty texts are scored too)."""
+    """docs with one more column: model.score of the whole text (null and empty texts are scored too).
+
+    A column of that name is replaced; others pass unchanged."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop(out)
     names = docs.columns
     schema = T.StructType([*docs.schema, T.StructField(out, T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
