@@ -38,7 +38,7 @@ def grams(word: str) -> list[int]:
     """Buckets of a word's subwords: 1 to 4 letters within < and >, and the whole word."""
     w = f"<{word}>"
     parts = [*word, *(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)), w]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
+    return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
 @dataclass
@@ -56,6 +56,7 @@ class LanguageModel:
     def scorer(self):
         """A function from texts to (class number or -1, probability, share of subwords seen); it remembers frequent words."""
         known: dict[str, int] = {}
+        wide = np.column_stack([self.table, np.ones(len(self.table)), self.seen]).astype(np.float32)
         rows = np.zeros((CACHED_WORDS + 1, self.table.shape[1] + 2))
 
         def numbers(found: list[str]) -> np.ndarray:
@@ -64,10 +65,7 @@ class LanguageModel:
                 k = get(w)
                 if k is None:
                     k = known[w] = len(known)
-                    g = grams(w)
-                    rows[k, :-2] = self.table[g].sum(axis=0)
-                    rows[k, -2] = len(g)
-                    rows[k, -1] = self.seen[g].sum()
+                    rows[k] = wide[grams(w)].sum(axis=0)
                 out.append(k)
             return np.array(out, np.int64)
 
