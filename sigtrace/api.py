@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import containers, documents, kinds, provenance, signals, tags, text
+from .operators import containers, documents, kinds, media_hygiene, provenance, signals, tags, text
 from .operators.findings import compare
 from .sources.files import decoded
 
@@ -34,8 +34,8 @@ def analyze(files: DataFrame) -> DataFrame:
     image, audio, video, doc = of("image"), of("audio"), of("video"), of("document")
     branches = {
         "text": [text.detect_text(of("text").select("path", decoded("content").alias("text")), ["path"])],
-        "image": [tags.tag_findings(containers.tags(image, containers.image_tags), "image"), provenance.manifest_findings(containers.parts(image, containers.image_parts))],
-        "audio": [tags.tag_findings(containers.tags(audio, containers.id3_tags), "audio"), tags.tag_findings(containers.tags(audio, containers.mp4_tags), "audio"), signals.ultrasonic_findings(signals.read_wav(audio))],
+        "image": [tags.tag_findings(containers.tags(image, containers.image_tags), "image"), provenance.remote_findings(containers.tags(image, containers.image_tags)), provenance.manifest_findings(containers.parts(image, containers.image_parts))],
+        "audio": [tags.tag_findings(containers.tags(audio, containers.audio_tags), "audio"), signals.ultrasonic_findings(signals.read_wav(audio))],
         "video": [tags.tag_findings(containers.tags(video, containers.mp4_tags), "video"), provenance.video_manifest(video)],
         "document": [documents.ooxml_findings(containers.parts(doc.where(~is_pdf), containers.zip_parts)), documents.pdf_findings(documents.pdf_text(doc.where(is_pdf)))],
     }
@@ -48,10 +48,11 @@ def analyze(files: DataFrame) -> DataFrame:
 
 
 def clean(files: DataFrame) -> DataFrame:
-    """path, kind, content, status of each file: texts normalised, office files without identifying metadata.
+    """path, kind, content, status of each file: texts normalised, office files and media without identifying metadata.
 
-    Other kinds come back untouched with status ``unsupported``: rewriting them would strip provenance or ownership
-    marks, which this engine detects and does not remove.
+    A media file of status ``partial`` keeps what tells how it was made: manifests and generator labels are detected, not
+    removed, and samples and pixels stay as they are. Damaged files and other containers come back untouched, with status
+    ``unsupported``.
     """
     known = kinds.with_kind(files.select("path", "content"))
     texts = known.where("kind = 'text'").withColumn("t", decoded("content"))
@@ -59,5 +60,8 @@ def clean(files: DataFrame) -> DataFrame:
     office = (F.col("kind") == "document") & ~F.startswith("content", F.lit(b"%PDF"))
     packed = documents.write_zip(documents.clean_ooxml(containers.parts(known.where(office), containers.zip_parts)))
     packed = packed.select("path", F.lit("document").alias("kind"), "content", F.lit("cleaned").alias("status"))
-    rest = known.where(F.col("kind").isNull() | ~(F.col("kind") == "text") & ~office).withColumn("status", F.lit("unsupported"))
-    return texts.unionByName(packed).unionByName(rest.select("path", "kind", "content", "status"))
+    is_media = F.col("kind").isin("image", "audio", "video")
+    media = media_hygiene.clean_media(known.where(is_media), also=("kind",))
+    rest = known.where(F.col("kind").isNull() | (F.col("kind") == "document") & ~office).withColumn("status", F.lit("unsupported"))
+    out = texts.unionByName(packed).unionByName(media)
+    return out.unionByName(rest.select("path", "kind", "content", "status"))

@@ -1,4 +1,4 @@
-"""Parts of container files as rows: zip members, JPEG segments, PNG and WebP chunks, tags of WAV, ID3, MP4 and EXIF.
+"""Parts of container files as rows: zip members, JPEG segments, PNG and WebP chunks; tags of EXIF, IPTC, XMP and sound.
 
 Reading bytes needs Python; every reader takes Arrow batches, gives rows of (id, ordinal, part_type, payload) and turns a
 broken file into the parts before the damage. All rules over parts are Column expressions.
@@ -9,7 +9,9 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,8 +103,53 @@ def tiff_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
             yield group, name, value
 
 
+def xmp_tags(body: bytes) -> Iterator[tuple[str, str, str]]:
+    """Properties of an XMP packet, as attributes or elements, by local name; members of a list are joined."""
+    if b"<!" in body or b"<" not in body:  # no document types: nothing to expand
+        return
+    begin, end = body.find(b"<x:xmpmeta"), body.rfind(b"</x:xmpmeta>")
+    try:
+        root = ElementTree.fromstring(body[begin : end + 12] if 0 <= begin < end else body.strip(b"\0 \r\n"))
+    except ElementTree.ParseError:
+        return
+    rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+    local = lambda name: name.rpartition("}")[2]
+    for about in root.iter(f"{rdf}Description"):
+        for name, value in about.attrib.items():
+            if not name.startswith((rdf, "{http://www.w3.org/XML")):
+                yield "XMP", local(name), value
+        for child in about:
+            value = "; ".join(t for t in (e.strip() for e in child.itertext()) if t) or child.get(f"{rdf}resource", "")
+            if value:
+                yield "XMP", local(child.tag), value
+
+
+# Numbers of the datasets in record 2 of an IPTC block.
+IPTC = {25: "Keywords", 55: "DateCreated", 80: "By-line", 85: "By-lineTitle", 90: "City", 110: "Credit", 115: "Source", 116: "Copyright", 120: "Caption-Abstract"}
+
+
+def iptc_tags(body: bytes) -> Iterator[tuple[str, str, str]]:
+    """Datasets of the IPTC resource in a block of image resources."""
+    at = 14 if body[:14] == b"Photoshop 3.0\0" else 0
+    while body[at : at + 4] == b"8BIM" and at + 7 <= len(body):
+        number = int.from_bytes(body[at + 4 : at + 6], "big")
+        at += 6 + (body[at + 6] + 2) // 2 * 2
+        size = int.from_bytes(body[at : at + 4], "big")
+        block, at = body[at + 4 : at + 4 + size], at + 4 + size + size % 2
+        i = 0
+        while number == 0x0404 and i + 5 <= len(block) and block[i] == 0x1C:
+            n = int.from_bytes(block[i + 3 : i + 5], "big")
+            if block[i + 1] == 2 and block[i + 2] in IPTC:
+                yield "IPTC", IPTC[block[i + 2]], block[i + 5 : i + 5 + n].decode("utf-8", "replace")
+            i += 5 + n
+
+
+#: A compressed text inflates to this many bytes at most; what is longer is no tag.
+INFLATED = 16 << 20
+
+
 def image_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
-    """Tags of EXIF blocks, PNG texts and XMP packets."""
+    """Tags of EXIF and IPTC blocks, PNG texts and XMP packets."""
     if data[:2] in (b"II", b"MM"):
         yield from tiff_tags(data)
     for kind, body in image_parts(data):
@@ -110,25 +157,57 @@ def image_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
             yield from tiff_tags(body[6:])
         elif kind in ("eXIf", "EXIF"):
             yield from tiff_tags(body[6:] if body[:6] == b"Exif\0\0" else body)
+        elif kind == "E1" and body[:28] == b"http://ns.adobe.com/xap/1.0/":
+            yield from xmp_tags(body[29:])
+        elif kind == "XMP ":
+            yield from xmp_tags(body)
+        elif kind == "ED":
+            yield from iptc_tags(body)
+        elif kind == "FE":
+            yield "File", "Comment", body.decode("utf-8", "replace")
         elif kind == "tEXt" and b"\0" in body:
             key, value = body.split(b"\0", 1)
             yield "PNG", key.decode("latin-1"), value.decode("latin-1")
         elif kind == "iTXt" and body.count(b"\0") >= 4:
             key, rest = body.split(b"\0", 1)
-            yield "PNG", key.decode("latin-1"), rest[2:].split(b"\0", 2)[2].decode("utf-8", "replace")
+            text = rest[2:].split(b"\0", 2)[2]
+            text = _inflated(text) if rest[:1] == b"\1" else text
+            if key == b"XML:com.adobe.xmp":
+                yield from xmp_tags(text)
+            else:
+                yield "PNG", key.decode("latin-1"), text.decode("utf-8", "replace")
+        elif kind == "zTXt" and b"\0" in body:
+            key, rest = body.split(b"\0", 1)
+            yield "PNG", key.decode("latin-1"), _inflated(rest[1:]).decode("latin-1")
+
+
+def _inflated(body: bytes) -> bytes:
+    try:
+        return zlib.decompressobj().decompress(body, INFLATED)
+    except zlib.error:
+        return b""
+
+
+def whole7(b: bytes) -> int:
+    """A length of four bytes of seven bits."""
+    return (b[0] << 21) | (b[1] << 14) | (b[2] << 7) | b[3]
+
+
+def id3_frames(data: bytes) -> Iterator[bytes]:
+    """Frames of an ID3v2 tag, headers included."""
+    at, end = 10, 10 + whole7(data[6:10])
+    while at + 10 <= min(end, len(data)) and data[at : at + 4].strip(b"\0"):
+        size = whole7(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
+        yield data[at : at + 10 + size]
+        at += 10 + size
 
 
 def id3_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
     """Frames of an ID3v2 tag: text frames, owners of private and file identifiers, comments, user texts and links."""
     if data[:3] != b"ID3" or len(data) < 10:
         return
-    whole = lambda b: (b[0] << 21) | (b[1] << 14) | (b[2] << 7) | b[3]
-    at, end = 10, 10 + whole(data[6:10])
-    while at + 10 <= min(end, len(data)) and data[at : at + 4].strip(b"\0"):
-        name = data[at : at + 4].decode("latin-1")
-        size = whole(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : at + 10 + size]
-        at += 10 + size
+    for frame in id3_frames(data):
+        name, body = frame[:4].decode("latin-1"), frame[10:]
         if name in ("PRIV", "UFID"):
             owner, _, rest = body.partition(b"\0")
             yield "ID3", f"{name}:{owner.decode('latin-1')}", rest.decode("latin-1")
@@ -159,6 +238,78 @@ def mp4_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
             at += size
 
 
+def comment_tags(body: bytes, grp: str) -> Iterator[tuple[str, str, str]]:
+    """Name and value of each entry in a comment block: the vendor's name, a count, then entries with their lengths."""
+    at = 4 + int.from_bytes(body[:4], "little")
+    n, at = int.from_bytes(body[at : at + 4], "little"), at + 4
+    for _ in range(n):
+        size = int.from_bytes(body[at : at + 4], "little")
+        if at + 4 > len(body):
+            return
+        name, _, value = body[at + 4 : at + 4 + size].decode("utf-8", "replace").partition("=")
+        yield grp, name, "" if name.lower() == "metadata_block_picture" else value
+        at += 4 + size
+
+
+def flac_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
+    at = 4
+    while at + 4 <= len(data):
+        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind & 127 == 4:
+            yield from comment_tags(data[at + 4 : at + 4 + size], "FLAC")
+        at += 4 + size
+        if kind >= 128:
+            return
+
+
+def ogg_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
+    """The comments in the second packet, which may go on over many pages."""
+    at, packet, seen = 0, [], 0
+    while data[at : at + 4] == b"OggS" and at + 27 <= len(data):
+        lengths = data[at + 27 : at + 27 + data[at + 26]]
+        at += 27 + len(lengths)
+        for n in lengths:
+            packet.append(data[at : at + n])
+            at += n
+            if n < 255:
+                whole, packet, seen = b"".join(packet), [], seen + 1
+                if whole[:7] == b"\x03vorbis":
+                    yield from comment_tags(whole[7:], "Vorbis")
+                elif whole[:8] == b"OpusTags":
+                    yield from comment_tags(whole[8:], "Opus")
+                if seen == 2:
+                    return
+
+
+# Chunks of an information list and the names they go by elsewhere.
+INFO = {"IART": "artist", "ICMT": "comment", "ICOP": "copyright", "ICRD": "date", "IENG": "engineer", "INAM": "title", "ISFT": "software", "ITCH": "encoded_by"}
+
+
+def wav_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
+    for kind, body in riff_chunks(data):
+        if kind == "LIST" and body[:4] == b"INFO":
+            for name, value in riff_chunks(b"RIFF\0\0\0\0" + body):
+                if name in INFO:
+                    yield "RIFF", INFO[name], value.rstrip(b"\0").decode("utf-8", "replace")
+        elif kind in ("id3 ", "ID3 "):
+            yield from id3_tags(body)
+
+
+def audio_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
+    """Tags of any sound file by its first bytes; a tag may stand before a stream that has comments of its own."""
+    if data[:3] == b"ID3" and len(data) >= 10:
+        yield from id3_tags(data)
+        data = data[10 + whole7(data[6:10]) :]
+    if data[:4] == b"fLaC":
+        yield from flac_tags(data)
+    elif data[:4] == b"OggS":
+        yield from ogg_tags(data)
+    elif data[:4] == b"RIFF":
+        yield from wav_tags(data)
+    elif data[4:8] == b"ftyp":
+        yield from mp4_tags(data)
+
+
 def parts(files: DataFrame, reader: Callable[[bytes], Iterator[tuple[str, bytes]]], key: str = "path", content: str = "content") -> DataFrame:
     """key, ordinal, part_type, payload of each file; a null or broken file yields what could be read."""
 

@@ -21,6 +21,15 @@ def manifest_findings(parts: DataFrame, key: str = "path") -> DataFrame:
     return one.select(key, F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f")).select(key, "f.*")
 
 
+def remote_findings(tags: DataFrame, key: str = "path") -> DataFrame:
+    """Pictures whose tags point to a manifest kept elsewhere; the first three such tags are shown."""
+    hit = (F.lower("tag") == "provenance") | F.col("value").rlike("(?i)https?://[^ ]*(c2pa|contentcredentials)")
+    shown = F.concat_ws("=", "tag", "value")
+    one = tags.where(hit).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", shown.alias("e")))).alias("all"))
+    found = finding(2, "c2pa-remote-manifest", "Remote provenance manifest", "medium", 0.9, F.substring(F.array_join(F.slice("all.e", 1, 3), "; "), 1, 200), F.lit(True), category="provenance")
+    return one.select(key, F.explode(F.array(found)).alias("f")).select(key, "f.*")
+
+
 def video_manifest(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Videos with the manifest's box identifier anywhere, or its name in the first 4 MiB."""
     c = F.col(content)

@@ -99,6 +99,61 @@ def dots(h: int = 600, w: int = 800, step: int = 60) -> bytes:
     return a.tobytes()
 
 
+def xmp(more: str = "") -> bytes:
+    return (
+        '<?xpacket begin=""?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/" '
+        'xmlns:t="http://t.example/"><rdf:Description rdf:about="" t:DocumentID="uuid-7"><dc:creator><rdf:Seq><rdf:li>Kim Doe</rdf:li><rdf:li>Lee</rdf:li></rdf:Seq></dc:creator>'
+        + more + '</rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+    ).encode()
+
+
+def jpeg(more: str = "") -> bytes:
+    """Marker by marker: EXIF, XMP, IPTC, a comment, a table, samples with stuffing, and bytes after the end."""
+    seg = lambda m, b: b"\xff" + bytes([m]) + struct.pack(">H", len(b) + 2) + b
+    line = b"\x1c\x02\x50\x00\x07Kim Doe"
+    iptc = b"Photoshop 3.0\0" + b"8BIM\x04\x04\0\0" + struct.pack(">I", len(line)) + line
+    head = seg(0xE1, b"Exif\0\0" + exif()) + seg(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + xmp(more)) + seg(0xED, iptc) + seg(0xFE, b"by Kim")
+    return b"\xff\xd8" + seg(0xE0, b"JFIF\0") + head + seg(0xDB, b"\xff\xd9table") + seg(0xDA, b"scan") + b"ab\xff\x00\xff\xd0cd" + seg(0xC4, b"\xff\xd9more") + seg(0xDA, b"scan") + b"ef\xff\xd9" + b"tail"
+
+
+def comments(*entries: str) -> bytes:
+    text = lambda s: struct.pack("<I", len(s.encode())) + s.encode()
+    return text("vendor") + struct.pack("<I", len(entries)) + b"".join(map(text, entries))
+
+
+def flac() -> bytes:
+    block = lambda kind, b: bytes([kind]) + struct.pack(">I", len(b))[1:] + b
+    return b"fLaC" + block(0, b"i" * 34) + block(3, b"s" * 18) + block(128 | 4, comments("ARTIST=Kim Doe", "ENCODER=enc 1")) + b"\xff\xf8samples"
+
+
+def ogg() -> bytes:
+    page = lambda lengths, b: b"OggS" + b"\0" * 22 + bytes([len(lengths)]) + bytes(lengths) + b
+    tags = b"OpusTags" + comments("ARTIST=" + "Kim" * 100)
+    return page([8], b"OpusHead") + page([255], tags[:255]) + page([len(tags) - 255], tags[255:]) + page([4], b"data")
+
+
+def tagged_wav() -> bytes:
+    plain, tag = wav(None, 1), b"INFOIART\x07\0\0\0Kim Doe\0"
+    body = plain[8:] + b"LIST" + struct.pack("<I", len(tag)) + tag
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def mp4() -> bytes:
+    box = lambda n, b: struct.pack(">I", len(b) + 8) + n + b
+    place = box(b"\xa9xyz", b"\0\x10\0\0+52.5+013.4/")
+    moov = box(b"moov", box(b"mvhd", b"\0\0\0\0" + b"\x11" * 8 + b"\0\0\3\xe8") + box(b"udta", place))
+    return box(b"ftyp", b"isom\0\0\0\0") + moov + box(b"mdat", b"samples")
+
+
+def media(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("m/photo.jpg", jpeg()), ("m/made.jpg", jpeg("<t:DigitalSourceType>trainedAlgorithmicMedia</t:DigitalSourceType>")), ("m/place.png", png({"eXIf": exif(), "tIME": b"\0" * 7, "iTXt": b"XML:com.adobe.xmp\0\0\0\0\0" + xmp()})),
+        ("m/packed.png", png({"zTXt": b"Author\0\0" + zlib.compress(b"Kim Doe")})), ("m/remote.png", png({"iTXt": b"XML:com.adobe.xmp\0\0\0\0\0" + xmp("<t:provenance>https://x.example/c2pa/1</t:provenance>")})),
+        ("m/song.mp3", id3() + b"\xff\xfbframes" + b"TAG" + b"\0" * 125), ("m/song.flac", flac()), ("m/song.ogg", ogg()), ("m/song.wav", tagged_wav()), ("m/film.mp4", mp4()), ("m/cut.png", png({"eXIf": exif()})[:60]), ("m/none.jpg", None),
+    ]
+    return spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+
+
 def files(spark: SparkSession) -> DataFrame:
     rows = [
         ("a/plan.docx", docx()), ("a/plain.png", png()), ("a/signed.png", png({"caBX": b"jumbc2pa by Digimarc"})), ("a/place.png", png({"eXIf": exif()})),
@@ -117,6 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kind_dispatch": lambda s, d: kinds.with_kind(files(s)).select("path", "kind"),
     "file_findings": lambda s, d: api.analyze(files(s)),
     "file_cleaning": lambda s, d: api.clean(files(s)).select("path", "kind", "status"),
+    "media_findings": lambda s, d: api.analyze(media(s)),
+    "media_hygiene": lambda s, d: api.clean(media(s)).selectExpr("path", "kind", "status", "length(content) as bytes"),
     "png_chunks": lambda s, d: containers.parts(files(s), containers.png_chunks).select("path", "ordinal", "part_type"),
     "picture_findings": lambda s, d: signals.picture_findings(pictures(s)),
 }
