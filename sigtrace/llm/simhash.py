@@ -1,7 +1,12 @@
-"""SimHash near duplicates: pigeonhole blocks of the fingerprint, a join on blocks, then the Hamming distance."""
+"""SimHash near duplicates: pigeonhole blocks of the fingerprint, a join on blocks, then the Hamming distance.
+
+Similar documents: an exact join on the rarest shingles, then the Jaccard similarity.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, lean, maybe_in, written
+from .common import bounded_batches, discard, lean, maybe_in, written
 from .components import components
 from .tokens import forget
 
@@ -125,23 +130,12 @@ def hex16(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-#: The wide fingerprint: 192 bits over a text's distinct words, in 12 blocks of 16 bits.
-WIDE_BYTES, WIDE_BLOCKS = 24, 12
-#: Pairs further apart than this share of the bits go no further; texts of similarity 0.8 are at most 0.11 apart here.
-WIDE_MOST = 0.19
-
-
-def wide_fingerprint(parts: list[bytes]) -> bytes:
-    """SimHash of 192 bits over distinct words: a changed word moves one feature, where it moves five shingles."""
-    counts, n = np.zeros(8 * WIDE_BYTES, np.int64), 0
-    distinct = list(set(parts))
-    for at in range(0, len(distinct), CHUNK):
-        some = distinct[at : at + CHUNK]
-        raw = b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh64_digest(w, 2) for w in some])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, WIDE_BYTES), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-        n += len(some)
-    return np.packbits(2 * counts > n).tobytes()
+#: Bits of the parity map of a text's shingles, as longs.
+MAP_LONGS = 8
+#: Rows whose shingles are counted to tell common ones, and the most that are told; both only order the shingles.
+ORDER_ROWS, ORDER_MOST = 20_000, 1 << 18
+#: Members of a key that meet all others there in its second round; twice as many in each round after it.
+CENTRES = 16
 
 
 def shingles(parts: list[bytes], words: int) -> np.ndarray:
@@ -160,69 +154,169 @@ def shingles(parts: list[bytes], words: int) -> np.ndarray:
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles of least or more.
 
-    Texts equal in their words collapse to a class. Classes whose wide fingerprints share two of twelve blocks meet, as
-    all within ten bits must; the fingerprint lies over distinct words, on which texts of this similarity differ in about
-    one bit in sixteen. In each pair of blocks a class is held against the first class there, so a crowded block costs
-    one row a member and no pairs; Hamming distance and then the exact similarity of the whole texts decide. A row
-    without an id goes by its text's hash. Null, empty and blank texts are one class. Repeated rows stay repeated.
+    component_id is the smallest id of the group; null ids count as numbers made from the text. Repeated rows stay
+    repeated.
+    """
+    return similar_rows(docs, words, least, text_col, id_col).select(id_col, "component_id")
+
+
+def row_key(own: Column, text: str | Column) -> Column:
+    """A number for a row's id and text: rows that repeat an id with another text have another number."""
+    return F.xxhash64(own, F.col(text) if isinstance(text, str) else text)
+
+
+def own_id(text_col: str = "text", id_col: str = "doc_id") -> Column:
+    """The id, or a negative number made from the text where it is null."""
+    return F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1))
+
+
+def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, row, component_id, keeper) of every row: row_key() of it and of the row that stands for its group.
+
+    Texts equal in their words collapse to a class. A text's shingles go in one order for all texts, rare ones first as
+    far as a sample tells. Of two sets of n and m shingles with a similarity of least, one must be found among the first
+    n - ceil(least * n) + 1 of the one and the like of the other, so classes that share none of these need not meet; the
+    order bears on the work alone. Classes of a key meet as in linked_by_keys(); number and parity of shingles rule out
+    most pairs, the exact similarity of the whole texts decides the others.
     """
     bounded_batches(docs.sparkSession)
     text = F.col(text_col).cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1)).alias("id"), text.alias("text"))
+    rows = docs.select(own_id(text_col, id_col).alias("id"), row_key(own_id(text_col, id_col), text_col).alias("row"), text.alias("text"))
+    common, often = _common_shingles(rows, words)
+    held = docs.sparkSession.sparkContext.broadcast((common, often))
 
     def scan(batches):
         forget()
+        common, often = held.value
         for b in batches:
-            h1, h2, wide = [], [], []
+            h1, h2, n, bits, first = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 parts = (t or b"").lower().split()
                 both = xxhash.xxh3_128_digest(b" ".join(parts))
                 h1.append(int.from_bytes(both[:8], "little", signed=True))
                 h2.append(int.from_bytes(both[8:], "little", signed=True))
-                wide.append(wide_fingerprint(parts))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(wide, pa.binary())], names=["id", "h1", "h2", "wide"])
-
-    prints = written(rows.mapInArrow(lean(scan), "id long, h1 long, h2 long, wide binary"), "wide")
-    classes = written(prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("wide").alias("wide")), "classes")
-    block = [F.expr(f"cast(conv(hex(substring(wide, {2 * i + 1}, 2)), 16, 10) as long)") for i in range(WIDE_BLOCKS)]
-    cut = classes.select("rep", "wide", F.array(*block).alias("b"))
-    keys = F.array(*[F.lit(t << 32).bitwiseOR(F.shiftleft(F.get("b", F.lit(i)), 16)).bitwiseOR(F.get("b", F.lit(j))) for t, (i, j) in enumerate(combinations(range(WIDE_BLOCKS), 2))])
-    keyed = cut.select("rep", F.explode(keys).alias("key"))
-    firsts = written(keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first"), "firsts")
-    meets = keyed.where(maybe_in(firsts, "key")(F.col("key"))).join(firsts, "key").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")).distinct()
-    wide = classes.select("rep", "wide")
-    near = meets.join(wide.select(F.col("rep").alias("u"), F.col("wide").alias("wu")), "u").join(wide.select(F.col("rep").alias("v"), F.col("wide").alias("wv")), "v")
-    far = sum((F.bit_count(_word(F.col("wu"), k).bitwiseXOR(_word(F.col("wv"), k))) for k in range(WIDE_BYTES // 4)), F.lit(0))
-    near = written(near.where(far <= int(WIDE_MOST * 8 * WIDE_BYTES)).select("u", "v"), "near")
-    needed = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
-    rows = rows.where(maybe_in(needed, "id")(F.col("id")))
+                s = shingles(parts, words)
+                n.append(len(s))
+                bits.append(parity_map(s))
+                first.append(prefix(s, least, common, often))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["id", "row", "h1", "h2", "n", "bits", "first"])
+
+    prints = written(rows.mapInArrow(lean(scan), "id long, row long, h1 long, h2 long, n long, bits array<long>, first array<long>"), "prints")
+    classes = prints.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("cid", F.explode("first").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("key"), "shared")
+    members = keyed.where(maybe_in(shared, "key")(F.col("key"))).join(shared, "key")
 
     def spelled(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles((t or b"").lower().split(), words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "s"])
-
-    # Rows that share an id may differ in text; one text stands for the id in each comparison.
-    texts = rows.join(needed, "id", "left_semi").mapInArrow(lean(spelled), "id long, s binary")
-    texts = written(texts.groupBy("id").agg(F.max("s").alias("s")), "shingles")
-    both = near.join(texts.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingles((t or b"").lower().split(), words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["cid", "s"])
 
     def verify(batches):
         for b in batches:
-            u, v, su, sv = (b.column(c) for c in ("u", "v", "su", "sv"))
             good = []
-            for x, y in zip(su.to_pylist(), sv.to_pylist(), strict=True):
+            for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist(), strict=True):
                 a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(a, c, assume_unique=True))
-                total = len(a) + len(c) - common
-                good.append(total == 0 or common >= least * total)
-            keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([u.take(keep), v.take(keep)], names=["u", "v"])
-
-    linked = components(both.select("u", "v", "su", "sv").mapInArrow(lean(verify), "u long, v long"))
-    named = written(classes.join(linked, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "labels")
-    return prints.select("id", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
-
-
-def _word(binary: Column, k: int) -> Column:
-    """Bytes 4k to 4k + 3 of a binary value as a number."""
-    return F.conv(F.hex(F.substring(binary, 4 * k + 1, 4)), 16, 10).cast("long")
+                both = len(np.intersect1d(a, c, assume_unique=True))
+                total = len(a) + len(c) - both
+                good.append(total == 0 or both >= least * total)
+            yield b.select(["u", "ru", "v", "rv"]).take(pa.array(np.flatnonzero(good)))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Of pairs(u, ru, v, rv) those whose texts are similar."""
+        sides = pairs
+        for side in ("u", "v"):
+            sides = sides.join(classes.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")), side)
+        odd = sum((F.bit_count(F.get("bu", F.lit(k)).bitwiseXOR(F.get("bv", F.lit(k)))) for k in range(MAP_LONGS)), F.lit(0))
+        apart = (1 - least) / (1 + least) * (F.col("nu") + F.col("nv")) + 1e-6
+        may = (F.least("nu", "nv") >= least * F.greatest("nu", "nv") - 1e-6) & (odd <= apart)
+        near = written(sides.where(may).select("u", "ru", "v", "rv"), "near")
+        needed = near.select(F.col("u").alias("cid")).unionByName(near.select(F.col("v").alias("cid"))).distinct()
+        needed = written(classes.select("cid", F.col("rep.row").alias("row")).join(needed, "cid", "left_semi"), "needed")
+        texts = rows.where(maybe_in(needed, "row")(F.col("row"))).join(needed, "row").select("cid", "text")
+        texts = written(texts.mapInArrow(lean(spelled), "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s")), "shingles")
+        both = near.join(texts.select(F.col("cid").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("cid").alias("v"), F.col("s").alias("sv")), "v")
+        out = written(both.select("u", "ru", "v", "rv", "su", "sv").mapInArrow(lean(verify), "u long, ru long, v long, rv long"), "similar")
+        for t in (near, needed, texts):
+            discard(t)
+        return out
+
+    linked = linked_by_keys(members, similar)
+    rooted = classes.select("h1", "h2", "rep", "cid").join(linked, F.col("cid") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("root", "cid").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("rep").alias("head"))
+    named = written(rooted.join(heads, "root").select("h1", "h2", F.col("head.id").alias("component_id"), F.col("head.row").alias("keeper")), "labels")
+    return prints.select("id", "row", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "row", "component_id", "keeper")
+
+
+def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame], centres: int = CENTRES) -> DataFrame:
+    """members(key, cid) -> (node, root): the groups that all pairs sharing a key would form, root the smallest.
+
+    similar takes pairs(u, ru, v, rv) and returns those that are linked. In each round a key's centres meet all its
+    members of other groups and leave the key, which is done once its members are one group. Of two members the one that
+    leaves first has met the other, or was in its group, so no link between groups is lost. The first round has one
+    centre a key, by which a group of near copies becomes one without pairs in the square of its size; the next rounds
+    have centres of as many groups as CENTRES and twice as many each time, so a key of n unlike members takes about
+    log n rounds.
+    """
+    held, most, links = written(members.select("key", "cid", F.col("cid").alias("root")), "held"), 1, None
+    while True:
+        live = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+        now = written(held.join(live, "key"), "held")
+        discard(held)
+        held = now
+        if held.isEmpty():
+            break
+        heads = held.groupBy("key", F.pmod(F.xxhash64("root"), F.lit(most)).alias("slot")).agg(F.min(F.struct("cid", "root")).alias("c"))
+        heads = written(heads.select("key", F.col("c.cid").alias("v"), F.col("c.root").alias("rv")), "centres")
+        pairs = held.join(heads, "key").where("root <> rv").select(F.col("cid").alias("u"), F.col("root").alias("ru"), "v", "rv")
+        swap = F.col("u") < F.col("v")
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.when(swap, F.col("rv")).otherwise(F.col("ru")).alias("ru"), F.least("u", "v").alias("v"), F.when(swap, F.col("ru")).otherwise(F.col("rv")).alias("rv")).distinct()
+        found = similar(pairs)
+        links = found.select("u", "v") if links is None else links.unionByName(found.select("u", "v"))
+        joined = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        left = held.join(heads.select("key", F.col("v").alias("cid")), ["key", "cid"], "left_anti")
+        left = left.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        now = written(left.select("key", "cid", F.coalesce("to", "root").alias("root")), "held")
+        discard(held)
+        discard(heads)
+        held, most = now, max(centres, 2 * most)
+    if links is None:
+        links = members.sparkSession.createDataFrame([], "u long, v long")
+    return components(links)
+
+
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """Which of 64 * MAP_LONGS cells hold an odd number of the values: two maps differ in no more cells than the sets in values."""
+    cells = np.bincount((s & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64), minlength=64 * MAP_LONGS) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
+def prefix(s: np.ndarray, least: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first n - ceil(least * n) + 1 of n shingles, by how often they are counted, then by value."""
+    if not len(s):
+        return s.view(np.int64)
+    count = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        count = np.where(common[at] == s, often[at], 0)
+    n = len(s) - math.ceil(least * len(s) - 1e-9) + 1
+    return s[np.lexsort((s, count))[:n]].view(np.int64)
+
+
+def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample of rows(row, text) have, sorted, and in how many they are."""
+    n = rows.count()
+    at = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("text")), 11) / F.lit(float(1 << 53))
+    some = rows.where(at < min(1.0, ORDER_ROWS / max(1, n))).select("text")
+
+    def spell(batches):
+        for b in batches:
+            parts = [(t or b"").lower().split() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(b" ".join(p)) >> 1 for p in parts], pa.int64()), pa.array([shingles(p, words).view(np.int64) for p in parts], pa.list_(pa.int64()))], names=["h", "s"])
+
+    once = some.mapInArrow(lean(spell), "h long, s array<long>").groupBy("h").agg(F.first("s").alias("s"))
+    counts = once.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = counts.orderBy(F.col("n").desc(), "s").limit(ORDER_MOST).toPandas()
+    common, often = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(common)
+    return common[order], often[order]

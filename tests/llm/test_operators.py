@@ -300,3 +300,44 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, text), (3, text.upper()), (3, text.upper()), (9, text.replace("word7 ", "other ")), (None, text), (4, "something else entirely"), (4, "something else entirely")]
     out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) in ([3, 4], [4]) and len(out) == 2
+
+
+def grouped(got, sets, least=0.8):
+    """Whether the groups are those that all pairs of sets at least so similar form."""
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return all(got[i] == find(i) for i in ids)
+
+
+def five(text):
+    w = text.lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_near_copies_behind_looser_relatives(spark):
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(200)]
+
+    def edited(w, n):
+        w = list(w)
+        for k in rng.sample(range(len(w) // 10), n):
+            w[10 * k + 5] = f"x{rng.getrandbits(40)}"
+        return w
+
+    family = [edited(base, 3) for _ in range(200)]  # 15 of 196 shingles each: mostly below 0.8 of each other
+    family += [edited(w, 1) for w in family[-60:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").component_id
+    sets = {i: five(t) for i, t in rows}
+    assert grouped(got, sets) and 100 < got.nunique() <= 200
