@@ -341,3 +341,15 @@ def test_near_copies_behind_looser_relatives(spark):
     got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").component_id
     sets = {i: five(t) for i, t in rows}
     assert grouped(got, sets) and 100 < got.nunique() <= 200
+
+
+def test_near_copies_cut_extended_or_patched(spark, docs):
+    texts = [t.split() for t in docs.text if len(t.split()) > 40][:150]
+    rows = []
+    for i, w in enumerate(texts):
+        other, n = texts[i - 1], len(w)
+        spot = n // 3
+        copies = (w, w[: int(0.84 * n)], w + (other * n)[: int(0.18 * n)], w[:spot] + (other * n)[: int(0.07 * n)] + w[spot + int(0.07 * n) :])
+        rows += [(10 * i + j, " ".join(c)) for j, c in enumerate(copies)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").component_id
+    assert grouped(got, {i: five(t) for i, t in rows}) and got.nunique() < 0.5 * len(rows)
