@@ -114,8 +114,9 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
     qs, cs = summaries(q), summaries(c)
     bound = qs[0] @ cs[0].T
     bound[query_ids[:, None] == ids[None]] = -np.inf
-    if len(ids) > 4 * k:  # k exact scores of the most promising give a floor of this block
-        first = np.argpartition(-bound, k, axis=1)[:, : k + 1]
+    one = np.unique(ids, return_index=True)[1]  # one row of each id: a floor must be reached by k ids
+    if len(one) > 4 * k:  # k exact scores of the most promising give a floor of this block
+        first = one[np.argpartition(-bound[:, one], k, axis=1)[:, : k + 1]]
         seen = np.einsum("qd,qkd->qk", q, c[first])
         seen[query_ids[:, None] == ids[first]] = -np.inf
         low = np.maximum(low, -np.partition(-seen, k - 1, axis=1)[:, k - 1])
@@ -126,6 +127,11 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
     score = _dots(queries, rows, alive)
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
+    if len(one) < len(ids):  # rows that repeat an id count once, with their best score
+        again = np.lexsort((np.arange(len(i)), ids[j], i))
+        new = np.ones(len(i), bool)
+        new[again[1:]] = (i[again][1:] != i[again][:-1]) | (ids[j][again][1:] != ids[j][again][:-1])
+        i, j, score = i[new], j[new], score[new]
     place = np.arange(len(i)) - np.searchsorted(i, i)
     keep = (place < k) & (score >= low[i])
     return i[keep], j[keep], score[keep]
