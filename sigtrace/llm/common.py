@@ -1,4 +1,5 @@
-"""What the operators of this subpackage share: tables in the shared folder, folds and samples of labelled rows."""
+"""What the operators of this subpackage share: tables in the shared folder, folds, samples of labelled rows, numbers
+for rows that repeat each other."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper bound on the text that one Arrow batch carries to a Python worker, whatever the row count.
@@ -89,20 +90,56 @@ def unit_hash(*cols: str | Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
-def class_sample(rows: DataFrame, label: str, per_class: int, key: str = "doc_id", seed: int = 7) -> tuple[DataFrame, dict]:
-    """About per_class rows of each label value, chosen by a hash of key, and the share of each class that was taken.
+def row_hash(*cols: str | Column, seed: int = 7) -> Column:
+    """A repeatable 64-bit hash of what a row holds, its text included: rows that only lack an id differ in it."""
+    return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
 
-    One count by label (combined before the shuffle) sets the shares, so that the sample stays bounded at any input
-    size and a common class cannot crowd out a rare one. Null labels take no part.
+
+def class_sample(rows: DataFrame, label: str, per_class: int, pick: str = "__pick") -> DataFrame:
+    """rows of about per_class different values of pick (a long, a hash) for each label value, with __share of its class.
+
+    One count by label (combined before the shuffle) sets the shares, so that the sample stays bounded at any input size
+    and a common class cannot crowd out a rare one. Counts stay a table, so any number of labels will do; null labels take
+    no part. Rows equal in pick enter together: reduce them with one_each() before the driver gathers them.
+    """
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = written(counts, "classes")  # as a table its size is known, so that it is broadcast only if it is small
+    both = rows.join(counts.withColumn("__share", F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("__n"))), F.col(label) == F.col("__class"))
+    return both.where(F.shiftrightunsigned(F.col(pick), 11) / F.lit(float(1 << 53)) < F.col("__share")).drop("__class", "__n")
+
+
+def one_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the rows that are equal in keys, combined in each task before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("__one")).select(*keys, *[F.col(f"__one.{c}").alias(c) for c in rest])
+
+
+def among_equals(rows: DataFrame, key: str, out: str = "__nth") -> DataFrame:
+    """rows with out: 0 for a row whose key (a long) no other row has, else its number among the rows of that key.
+
+    Only keys that repeat are numbered: a count combined before its shuffle finds them, and no other row moves if they are
+    few enough to broadcast. Rows of one key are numbered in cells by the task that read them, so no task gets all rows
+    of a key. Which of several equal rows gets which number is open; the numbers of a key are always 0 to n - 1.
     """
-    counts = {r[label]: r["n"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = {k: min(1.0, per_class / n) for k, n in counts.items()}
-    if not shares:
-        return rows.where(F.lit(False)), {}
-    chosen = F.lit(False)
-    for k, share in shares.items():
-        chosen = F.when(F.col(label) == F.lit(k), unit_hash(key, seed=seed) < share).otherwise(chosen)
-    return rows.where(chosen), shares
+    often = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "repeated")
+    zero = F.lit(0).cast("long")
+    if often.isEmpty():
+        return rows.withColumn(out, zero)
+    once = rows.join(often, key, "left_anti").withColumn(out, zero)
+    again = rows.join(often, key, "left_semi").withColumn("__at", F.monotonically_increasing_id())
+    again = written(again.withColumn("__cell", F.shiftrightunsigned("__at", 33)), "again")
+    cells = again.groupBy(key, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col(key).alias("__key"), F.col("__cell").alias("__in"), F.coalesce(F.sum("__n").over(ahead), zero).alias("__first"))
+    place = F.row_number().over(Window.partitionBy(key, "__cell").orderBy("__at"))
+    numbered = again.withColumn("__place", place).join(cells, (F.col(key) == F.col("__key")) & (F.col("__cell") == F.col("__in")))
+    numbered = numbered.withColumn(out, (F.col("__first") + F.col("__place") - 1).cast("long"))
+    return once.unionByName(numbered.select(*once.columns))
+
+
+def plain_text(text: bytes | None) -> str:
+    """The text of UTF-8 bytes; each invalid sequence becomes the replacement character, and null the empty text."""
+    return "" if text is None else text.decode("utf-8", "replace")
 
 
 #: Bits of a membership filter: 8 MB at most on the driver and on each executor, whatever the number of keys.

@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import among_equals, discard, row_hash, written
 from .sharding import KEY_BITS, key62
 
-#: A source's documents lie in this many blocks of its permuted order, or fewer rows than blocks if it is small.
-BLOCK_ROWS = 200
+#: A source's permuted order is cut into 2**CELL_BITS blocks at most, and into fewer if a block had less than BLOCK_ROWS rows.
+CELL_BITS, BLOCK_ROWS = 10, 32
 WEIGHTS = (1, 2, 3)
 
 
@@ -43,10 +43,10 @@ def targets(sizes: dict, most: float = 3.0, weights: tuple[float, ...] = WEIGHTS
 
 
 def splitting_tree(quotas: np.ndarray, leaves: int, rng: np.random.Generator) -> np.ndarray:
-    """(leaves, sources): how many draws of each source go to each output shard; exact in both directions.
+    """(leaves, kinds): how many draws of each kind go to each output shard; exact in both directions.
 
-    A node splits its quotas between its halves by one multivariate-hypergeometric draw, so any subtree can be worked
-    out from its own path; leaves differ by one draw at most.
+    A node splits its quotas between its halves by one multivariate-hypergeometric draw; leaves differ by one draw at
+    most. A kind is a pass over a source.
     """
     if leaves == 1:
         return quotas[None]
@@ -59,108 +59,187 @@ def splitting_tree(quotas: np.ndarray, leaves: int, rng: np.random.Generator) ->
 
 @dataclass
 class SourcePlan:
-    """One source: its size and target, whole passes, the hash up to which documents are drawn once more, its blocks,
-    and the first draw of each output shard."""
+    """One source: its size and target, the bits of a block's number, for each pass the output shard that draws each block
+    (-1: none), and the block that the target cuts with the last place in it that is taken."""
 
     source: str | None
     size: int
     target: float
-    passes: int
+    bits: int
+    passes: list[list[int]]
+    cut: int
     upto: int
-    blocks: int
-    starts: list[int]
+
+
+def leaf_draws(free: int, quotas: np.ndarray) -> list[tuple[range, range]]:
+    """For each leaf the blocks it draws, and those it leaves, out of free permuted blocks in a row.
+
+    The blocks that no leaf draws are spread evenly over the leaves, so a leaf's place in the order, and with it the
+    blocks it draws, follow from the quotas of all leaves before it.
+    """
+    spare, at, out = free - int(quotas.sum()), 0, []
+    for i, q in enumerate(quotas.tolist()):
+        left = spare * (i + 1) // len(quotas) - spare * i // len(quotas)
+        out.append((range(at, at + q), range(at + q, at + q + left)))
+        at += q + left
+    return out
 
 
 def plan(sized: DataFrame, shards: int = 16, seed: int = 17, source: str = "source", size: str = "size", order: str = "__order") -> list[SourcePlan]:
-    """Reads sized(source, size, __order: 62-bit permutation) twice or more, always combined by source and cell.
+    """What each output shard draws of each source, from sized(source, size, __order: a 62-bit permutation).
 
-    The last, partial pass of a source ends inside a cell of its permuted order. That cell alone is cut finer, round
-    after round, until one document is left, which is taken if that comes nearer to the target. Only sums by source and
-    256 cells reach the driver; the number of sources must be bounded (they are the mix's parameters).
+    One aggregation gives the words and rows of each source's blocks. A source's quota is all its blocks in each whole
+    pass and, in the partial one, the share of them that its target asks for; the tree deals these quotas to the output
+    shards, and every shard draws its blocks of the permuted order. Drawn blocks hold about the words wanted: a source
+    that is short takes blocks that its shards left, one that is over gives back the last it drew, and the block in which
+    the target falls is cut between two documents. That block alone is read again, in 256 cells a round.
+
+    Only sums by source and block (2**CELL_BITS a source at most) reach the driver; the number of sources must be bounded
+    (they are the mix's parameters).
     """
-    seen = {r[source]: (r["size"], r["n"]) for r in sized.groupBy(source).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).collect()}
-    goal = targets({s: v[0] for s, v in seen.items()})
-    passes = {s: min(3, int(goal[s] // v[0])) if v[0] else 0 for s, v in seen.items()}
-    want = {s: goal[s] - passes[s] * v[0] for s, v in seen.items()}
-    low, width, have, upto = {s: 0 for s in seen}, 1 << KEY_BITS, {s: 0 for s in seen}, {}
-    active = {s for s, v in seen.items() if v[0] and want[s] >= 0.5 and passes[s] < 3}
-    upto |= {s: -1 for s in seen if s not in active}
-    while active and width > 1:
-        width >>= 8 if width >= 256 else width.bit_length() - 1
-        floor = F.lit(None).cast("long")
+    cell = F.shiftright(F.col(order), KEY_BITS - CELL_BITS).cast("int")
+    rows = sized.groupBy(source, cell.alias("cell")).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    words: dict[str | None, np.ndarray] = {}
+    count: dict[str | None, int] = {}
+    for r in rows:
+        words.setdefault(r[source], np.zeros(1 << CELL_BITS, np.int64))[r["cell"]] += r["size"]
+        count[r[source]] = count.get(r[source], 0) + r["n"]
+    names = sorted(words, key=lambda s: (s is None, s or ""))
+    total = {s: int(words[s].sum()) for s in names}
+    goal = targets(total)
+    rng = np.random.default_rng(seed)
+    plans, kinds, quotas = [], [], []
+    for k, s in enumerate(names):
+        bits = max(0, min(CELL_BITS, (count[s] // BLOCK_ROWS).bit_length() - 1))
+        blocks = words[s] = words[s].reshape(1 << bits, -1).sum(axis=1)
+        whole = min(3, int((goal[s] + 1e-6) // total[s])) if total[s] else 0
+        want = goal[s] - whole * total[s]
+        partial = total[s] > 0 and whole < 3 and want >= 0.5
+        plans.append(SourcePlan(s, total[s], float(goal[s]), bits, [], -1, -1))
+        for p in range(whole + partial):
+            kinds.append((k, p < whole))
+            quotas.append(len(blocks) if p < whole else min(len(blocks), round(want / total[s] * len(blocks))))
+    leaf = splitting_tree(np.array(quotas, np.int64), shards, rng) if quotas else np.zeros((shards, 0), np.int64)
+    cuts: dict[str | None, float] = {}
+    for i, (k, whole) in enumerate(kinds):
+        p, s = plans[k], names[k]
+        blocks, owner = words[s], [-1] * len(words[s])
+        dealt = leaf_draws(len(blocks), leaf[:, i])
+        drawn = [(b, shard) for shard, (mine, _) in enumerate(dealt) for b in mine]
+        for b, shard in drawn:
+            owner[b] = shard
+        if not whole:
+            want = p.target - (p.target + 1e-6) // p.size * p.size
+            have = float(blocks[[b for b, _ in drawn]].sum())
+            spare = iter([(b, shard) for shard, (_, rest) in enumerate(dealt) for b in rest])
+            while have > want:  # the last drawn goes back, and is cut if the target falls inside it
+                b, shard = drawn.pop()
+                have -= blocks[b]
+                owner[b] = -1
+                if have <= want:
+                    p.cut, owner[b], cuts[s] = b, shard, want - have
+            while p.cut < 0 and have < want and (more := next(spare, None)):
+                b, shard = more
+                if have + blocks[b] <= want:
+                    have, owner[b] = have + blocks[b], shard
+                else:
+                    p.cut, owner[b], cuts[s] = b, shard, want - have
+        p.passes.append(owner)
+    for p in plans:
+        if p.cut >= 0:
+            p.upto = (p.cut << KEY_BITS - p.bits) - 1  # nothing of the block, until _cut finds more
+    _cut(sized, {p.source: p for p in plans if p.cut >= 0}, cuts, source, size, order)
+    return plans
+
+
+def _cut(sized: DataFrame, plans: dict, want: dict, source: str, size: str, order: str) -> None:
+    """Sets upto of each plan: the last place of its cut block that is taken, so that the words come nearest to want."""
+    low, width = {s: p.cut << KEY_BITS - p.bits for s, p in plans.items()}, {s: 1 << KEY_BITS - p.bits for s, p in plans.items()}
+    have, active = dict.fromkeys(plans, 0), set(plans)
+    while active:
+        floor, step = F.lit(None).cast("long"), F.lit(None).cast("long")
         for s in sorted(active, key=str):
-            floor = F.when(F.col(source).eqNullSafe(F.lit(s)), F.lit(low[s])).otherwise(floor)
-        cell = F.expr(f"(({order}) - __low) div {width}L")
-        rows = sized.withColumn("__low", floor).where(f"__low is not null and {order} >= __low and {order} < __low + {width * 256}L").groupBy(source, cell.alias("cell")).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).collect()
+            width[s] = max(1, width[s] >> 8)
+            here = F.col(source).eqNullSafe(F.lit(s))
+            floor, step = F.when(here, F.lit(low[s])).otherwise(floor), F.when(here, F.lit(width[s])).otherwise(step)
+        cells = sized.select(source, size, F.col(order).alias("__o"), floor.alias("__low"), step.alias("__step")).where("__low is not null and __o >= __low")
+        cells = cells.withColumn("__cell", F.expr("(__o - __low) div __step")).where("__cell < 256")
+        found: dict = {}
+        for r in cells.groupBy(source, "__cell").agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).collect():
+            found.setdefault(r[source], []).append((r["__cell"], r["size"], r["n"]))
         for s in list(active):
-            done = True
-            for r in sorted((r for r in rows if r[source] == s and (r[source] is None) == (s is None)), key=lambda r: r["cell"]):
-                if have[s] + r["size"] <= want[s]:
-                    have[s] += r["size"]
-                    last = low[s] + (r["cell"] + 1) * width - 1
-                    upto[s] = max(upto.get(s, -1), last)
-                    continue
-                if r["n"] == 1 or width == 1:
-                    if have[s] + r["size"] - want[s] < want[s] - have[s]:
-                        upto[s] = low[s] + (r["cell"] + 1) * width - 1
+            inside = False
+            for at, words, n in sorted(found.get(s, [])):
+                last = low[s] + (at + 1) * width[s] - 1
+                if have[s] + words <= want[s]:
+                    have[s] += words
+                    plans[s].upto = last
+                elif n == 1 or width[s] == 1:
+                    if have[s] + words - want[s] < want[s] - have[s]:
+                        plans[s].upto = last
+                    break
                 else:
-                    low[s] += r["cell"] * width
-                    upto[s] = max(upto.get(s, -1), low[s] - 1)
-                    done = False
-                break
-            if done:
-                upto.setdefault(s, -1)
+                    low[s], inside = low[s] + at * width[s], True
+                    plans[s].upto = max(plans[s].upto, low[s] - 1)
+                    break
+            if not inside:
                 active.discard(s)
-    names = sorted(seen, key=lambda s: (s is None, s or ""))
-    blocks = {s: max(1, min(1 << 30, -(-seen[s][1] // BLOCK_ROWS))) for s in names}
-    draws = np.array([passes[s] * blocks[s] + _block(upto[s], blocks[s]) + 1 if upto[s] >= 0 else passes[s] * blocks[s] for s in names], np.int64)
-    if draws.size and int(draws.sum()) < 1_000_000_000:
-        leaf = splitting_tree(draws, shards, np.random.default_rng(seed))
-    else:  # the sampler's own limit; proportional quotas differ from a draw by a vanishing share at this size
-        edges = np.stack([draws * i // shards for i in range(shards + 1)])
-        leaf = np.diff(edges, axis=0)
-    starts = np.concatenate([np.zeros((1, len(names)), np.int64), np.cumsum(leaf, axis=0)[:-1]]) if len(names) else np.zeros((shards, 0), np.int64)
-    return [SourcePlan(s, seen[s][0], float(goal[s]), passes[s], upto[s], blocks[s], starts[:, i].tolist()) for i, s in enumerate(names)]
 
 
-def _block(order: int, blocks: int) -> int:
-    """Block of a place in the permuted order; the same sum as in SQL, on the leading 31 bits."""
-    return ((order >> (KEY_BITS - 31)) * blocks) >> 31
+def _placed(docs: DataFrame, seed: int, source: str, text_col: str, key: tuple[str, ...]) -> DataFrame:
+    """docs with __order: a row's place in its source's permuted order. Rows equal in key, source and text get places of
+    their own, and any of them may get any of these, so that reruns agree."""
+    told = among_equals(docs.withColumn("__same", row_hash(*key, source, text_col, seed=seed)), "__same")
+    return told.withColumn("__order", key62("__same", "__nth", seed=seed)).drop("__same", "__nth")
+
+
+def _drawn(placed: DataFrame, plans: list[SourcePlan], source: str) -> DataFrame:
+    """placed rows with source_size, target, copies and draws by the plans of their sources."""
+    schema = "__source string, source_size long, target double, __bits int, __passes array<array<int>>, __cut int, __upto long"
+    table = placed.sparkSession.createDataFrame([(p.source, p.size, p.target, p.bits, p.passes, p.cut, p.upto) for p in plans], schema)
+    # A row for each source, the mix's parameters: at most 3 * 2**CELL_BITS numbers each.
+    rows = placed.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("__source")), "left")
+    rows = rows.withColumn("__block", F.expr(f"cast(shiftright(__order, {KEY_BITS} - __bits) as int)"))
+    drawn = F.expr(
+        """filter(transform(__passes, (owner, p) -> struct(cast(p as int) as pass,
+            case when p = size(__passes) - 1 and __block = __cut and __order > __upto then -1 else owner[__block] end as shard)), d -> d.shard >= 0)"""
+    )
+    rows = rows.withColumn("draws", F.coalesce(drawn, F.expr("cast(array() as array<struct<pass:int,shard:int>>)")))
+    return rows.withColumn("copies", F.size("draws")).drop("__source", "__bits", "__passes", "__cut", "__upto", "__block")
 
 
-def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "source", text_col: str = "text", key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "source", text_col: str = "text", key: tuple[str, ...] = ("doc_id",), narrow: bool = False) -> DataFrame:
     """docs with size, source_size, target, copies and draws (pass, output shard): how often the mix takes each row.
 
-    Every row of docs comes back once, whether taken or not. A source's documents lie in a permuted order (a hash of
-    seed, key and source). Its whole passes take all of them, the partial pass those up to a place in that order, so a
-    row is taken at most three times and reruns agree. Blocks of the order are the unit of the splitting tree: draw d of
-    a source is block d modulo its blocks in pass d div its blocks, and an output shard draws a range of them, so shards
-    are disjoint. Columns of the five new names are replaced. Null sources are one source, null and empty texts have size 0; repeated rows share their fate.
+    Every row of docs comes back once, whether taken or not; narrow leaves only key and source of its own columns, and
+    then texts are read once. A source's documents lie in a permuted order of blocks; which of them an output shard draws
+    follows from the quotas that the splitting tree dealt it, so shards are disjoint, and another seed takes other rows. A
+    row is taken at most three times. Reruns agree, also on a table read in other parts. Columns of the five new names are
+    replaced. Null sources are one source, null and empty texts have size 0 and any length is counted whole; rows that
+    repeat others or lack a key have places of their own. An empty table gives an empty result.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "draws")
+    docs = docs.drop("size", "source_size", "target", "copies", "draws", "__order")
     names = docs.columns
-    order = key62(*key, F.col(source), seed=seed)
-    sized = written(docs.select(*key, source, word_count(text_col).alias("size")).withColumn("__order", order).select(source, "size", "__order"), "sizes")
+    measured = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*key, source])], word_count(text_col).alias("size"), row_hash(*key, source, text_col, seed=seed).alias("__same"))
+    told = among_equals(written(measured, "measured"), "__same")
+    sized = written(told.withColumn("__order", key62("__same", "__nth", seed=seed)).drop("__same", "__nth"), "sizes")
     plans = plan(sized, shards, seed, source)
-    session = docs.sparkSession
-    schema = "__source string, source_size long, target double, __passes int, __upto long, __blocks long, __starts array<long>"
-    table = session.createDataFrame([(p.source, p.size, p.target, p.passes, p.upto, p.blocks, p.starts) for p in plans], schema)
-    rows = docs.withColumn("size", word_count(text_col)).withColumn("__order", order)
-    rows = rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("__source")), "left")
-    block = F.shiftright(F.shiftright("__order", KEY_BITS - 31) * F.col("__blocks"), 31)
-    copies = F.col("__passes") + (F.col("__order") <= F.col("__upto")).cast("int")
-    rows = rows.withColumn("copies", copies).withColumn("__block", block)
-    draws = F.expr("transform(sequence(1, copies), p -> struct(cast(p - 1 as int) as pass, cast(size(filter(__starts, x -> x <= (p - 1) * __blocks + __block)) - 1 as int) as shard))")
-    return rows.withColumn("draws", F.when(F.col("copies") > 0, draws).otherwise(F.expr("array()").cast("array<struct<pass:int,shard:int>>"))).select(*names, "size", "source_size", "target", "copies", "draws")
+    if narrow:
+        return _drawn(sized, plans, source)
+    discard(sized)
+    rows = _placed(docs.withColumn("size", word_count(text_col)), seed, source, text_col, key)
+    return _drawn(rows, plans, source).select(*[F.col(f"`{c}`") for c in names], "size", "source_size", "target", "copies", "draws")
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "source", text_col: str = "text", key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The mix itself: docs' columns, out_shard and shuffle_key, one row for each time a document is taken.
 
-    Writing it partitioned by out_shard and sorted by shuffle_key within tasks is the local shuffle.
+    Writing it partitioned by out_shard and sorted by shuffle_key within tasks is the local shuffle. Columns of the two new
+    names are replaced, all others kept, whatever their names; the rest is as in mixed().
     """
     names = [c for c in docs.columns if c not in ("out_shard", "shuffle_key")]
     inner = {c: f"__own_{i}" for i, c in enumerate(names) if c in ("size", "source_size", "target", "copies", "draws")}
     drawn = mixed(docs.withColumnsRenamed(inner), shards, seed, source, text_col, key).withColumnRenamed("draws", "__drawn")
-    drawn = drawn.drop("size", "source_size", "target", "copies").withColumnsRenamed({v: k for k, v in inner.items()}).select(*names, F.explode("__drawn").alias("__draw"))
-    return drawn.select(*names, F.col("__draw.shard").alias("out_shard"), F.xxhash64(F.lit(seed), F.col("__draw.pass"), *[F.col(c) for c in key]).alias("shuffle_key"))
+    drawn = drawn.drop("size", "source_size", "target", "copies").withColumnsRenamed({v: k for k, v in inner.items()})
+    drawn = drawn.select(*[F.col(f"`{c}`") for c in names], F.explode("__drawn").alias("__draw"))
+    return drawn.select(*[F.col(f"`{c}`") for c in names], F.col("__draw.shard").alias("out_shard"), F.xxhash64(F.lit(seed), F.col("__draw.pass"), *[F.col(c) for c in key]).alias("shuffle_key"))

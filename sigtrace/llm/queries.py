@@ -25,8 +25,9 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SHARDS)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    out = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SHARDS, narrow=True)
+    taken = (F.col("size") * F.col("copies")).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws.shard").alias("out_shards"))
 
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

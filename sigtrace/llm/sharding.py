@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import among_equals, written
 
 #: Keys are 62-bit numbers, so that differences and sums of two stay within a long.
 KEY_BITS = 62
@@ -119,13 +119,19 @@ def shard_by_bytes(rows: DataFrame, shards: int, group: str | Column, spread: st
     """rows with shard and slot so that the shards' sums of size are nearly equal.
 
     group: rows of one value lie side by side, hence in one shard unless a splitter must divide them. spread tells the
-    rows of a group apart; rows equal in both cannot be parted. Nulls are values like any other. Names clash with
-    nothing: the working columns k1 and k2 go. An empty table gives an empty result.
+    rows of a group apart; rows equal in both are told apart by a number, so that even a table of equal rows is divided
+    row by row. Nulls are values like any other; a null size counts as 0. Columns of rows named shard or slot are
+    replaced; all others come back as they are, whatever their names. An empty table gives an empty result.
     """
-    spark_rows = written(rows.withColumn("k1", key62(group, seed=1)).withColumn("k2", key62(spread, seed=2)), "keys")
-    seen = spark_rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total")).first()
-    bounds = splitters(spark_rows, shards, seen["total"] or 0, tolerance, size=size) if seen["n"] else []
-    return with_slots(spark_rows.withColumn("shard", shard_of(bounds)), n=seen["n"]).drop("k1", "k2")
+    rows = rows.drop("shard", "slot")
+    names = rows.columns
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row_of"), key62(group, seed=1).alias("__k1"), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("__size"), F.xxhash64(F.lit(2), *[F.col(c) if isinstance(c, str) else c for c in (group, spread)]).alias("__both"))
+    told = among_equals(written(held, "digests"), "__both")
+    keyed = written(told.withColumn("__k2", key62("__both", "__nth", seed=2)).drop("__both", "__nth"), "keys")
+    seen = keyed.agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("total")).first()
+    bounds = splitters(keyed, shards, seen["total"] or 0, tolerance, first="__k1", second="__k2", size="__size") if seen["n"] else []
+    placed = with_slots(keyed.withColumn("shard", shard_of(bounds, "__k1", "__k2")), spread="__k2", order=("__k1", "__k2"), n=seen["n"])
+    return placed.select(*[F.col("__row_of").getField(c).alias(c) for c in names], "shard", "slot")
 
 
 def digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
