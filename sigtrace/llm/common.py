@@ -98,11 +98,11 @@ def row_hash(*cols: str | Column, seed: int = 7) -> Column:
 def class_sample(rows: DataFrame, label: str, per_class: int, pick: str = "__pick") -> DataFrame:
     """rows of about per_class different values of pick (a long, a hash) for each label value, with __share of its class.
 
-    One count by label (combined before the shuffle) sets the shares, so that the sample stays bounded at any input size
+    One sketched count of different values by label (combined before the shuffle) sets the shares, so that the sample stays bounded at any input size
     and a common class cannot crowd out a rare one. Counts stay a table, so any number of labels will do; null labels take
     no part. Rows equal in pick enter together: reduce them with one_each() before the driver gathers them.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__class")).agg(F.approx_count_distinct(pick, 0.02).alias("__n"))
     counts = written(counts, "classes")  # as a table its size is known, so that it is broadcast only if it is small
     both = rows.join(counts.withColumn("__share", F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("__n"))), F.col(label) == F.col("__class"))
     return both.where(F.shiftrightunsigned(F.col(pick), 11) / F.lit(float(1 << 53)) < F.col("__share")).drop("__class", "__n")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, class_sample, lean
+from .common import bounded_batches, class_sample, lean, one_each, plain_text, row_hash
 from .tokens import forget
 
 #: Labelled rows taken from each language at most (in expectation), for fitting and calibration together.
@@ -20,15 +20,17 @@ SAMPLE_PER_LANGUAGE = 800
 BUCKETS, WIDTH = 1 << 18, 16
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no digits
 #: Longer words are taken in parts, so that a text without breaks needs no more memory than others.
 PART = 64
 CACHED_WORDS = 300_000
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower case; a long run in parts of PART letters."""
+    """Runs of letters (Unicode class L), lower case; a long run in parts of PART letters."""
     found = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = "".join([c if c.isalpha() else " " for w in found for c in (*w, " ")]).split()
     if found and max(map(len, found)) > PART:
         found = [w[i : i + PART] for w in found for i in range(0, len(w), PART)]
     return found
@@ -69,8 +71,8 @@ class LanguageModel:
                 out.append(k)
             return np.array(out, np.int64)
 
-        def score(text: str | None) -> tuple[int, float, float]:
-            found = words_of(text or "")
+        def score(text: bytes | None) -> tuple[int, float, float]:
+            found = words_of(plain_text(text))
             if not found:
                 return -1, 0.0, 0.0
             total = np.zeros(rows.shape[1])
@@ -90,6 +92,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def loss(mean: np.ndarray, weight: np.ndarray, labels: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean weighted cross-entropy of rows of averaged embeddings, and its gradients by them and by the softmax weights."""
+    wrong = softmax(mean @ weight)
+    every = np.arange(len(labels))
+    value = -(balance * np.log(wrong[every, labels] + 1e-300)).mean()
+    wrong[every, labels] -= 1
+    wrong *= balance[:, None] / len(labels)
+    return float(value), wrong @ weight.T, mean.T @ wrong
+
+
 def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: list[str], epochs: int = 5, rate: float = 20.0, seed: int = 3) -> LanguageModel:
     """texts: per document, its buckets and their counts. One in five rows is kept for calibration.
 
@@ -119,12 +131,9 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
         for at in range(0, len(fit), 16):
             rows = fit[at : at + 16]
             ids, share, seg, mean = means(rows)
-            wrong = softmax(mean @ weight)
-            wrong[np.arange(len(rows)), labels[rows]] -= 1
-            wrong *= balance[labels[rows], None] / len(rows)
-            back = wrong @ weight.T
-            weight -= step * 0.05 * mean.T @ wrong
-            np.add.at(embed, ids, -step * share[:, None] * back[seg])
+            _, to_mean, to_weight = loss(mean, weight, labels[rows], balance[labels[rows]])
+            weight -= step * 0.05 * to_weight
+            np.add.at(embed, ids, -step * share[:, None] * to_mean[seg])
     logits = np.concatenate([means(held[i : i + 64])[3] @ weight for i in range(0, len(held), 64)]) if len(held) else np.zeros((0, len(classes)))
     seen = np.zeros(BUCKETS, bool)
     seen[np.concatenate([texts[i][0] for i in fit])] = True
@@ -145,31 +154,33 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", key: str = "doc_id", per_class: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Trains on a bounded sample of labelled rows: about per_class whole texts of each language, as subword counts.
 
-    Executors reduce each text to counts; no text reaches the driver. Null texts and null labels take no part.
+    Executors reduce each text to counts; no text reaches the driver. Null texts and null labels take no part; rows equal
+    in key and text count once, rows without a key by their text.
     """
     bounded_batches(rows.sparkSession)
-    rows = rows.where(F.col(text_col).isNotNull())
-    chosen, _ = class_sample(rows.select(key, text_col, label_col), label_col, per_class, key)
-    schema = "label string, ids binary, counts binary"
+    rows = rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"), F.col(label_col).alias("label"), row_hash(key, text_col).alias("__pick"))
+    schema = "pick long, label string, ids binary, counts binary"
 
     def count(batches):
         for b in batches:
-            labels, ids, counts = [], [], []
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+            picks, labels, ids, counts = [], [], [], []
+            for text, label, pick in zip(b.column("text"), b.column("label").to_pylist(), b.column("__pick").to_pylist(), strict=True):
                 seen: dict[int, int] = {}
                 tally: dict[str, int] = {}
-                for w in words_of(text):
+                for w in words_of(plain_text(text.as_py())):
                     tally[w] = tally.get(w, 0) + 1
                 for w, n in tally.items():
                     for g in grams(w):
                         seen[g] = seen.get(g, 0) + n
                 if seen:
+                    picks.append(pick)
                     labels.append(label)
                     ids.append(np.fromiter(seen, np.int32, len(seen)).tobytes())
                     counts.append(np.fromiter(seen.values(), np.float32, len(seen)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["label", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(picks, pa.int64()), pa.array(labels, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["pick", "label", "ids", "counts"])
 
-    got = chosen.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).mapInArrow(lean(count), schema).collect()
+    chosen = class_sample(rows, "label", per_class).select("text", "label", "__pick")
+    got = one_each(chosen.mapInArrow(lean(count), schema), "pick", "label").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["ids"])))
     classes = sorted({r["label"] for r in got})
     if not classes:
@@ -180,12 +191,13 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", key: s
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred (a learned language; ``und`` without any letter), lang_score and lang_rejected.
+    """docs with lang_pred (a learned language; ``und`` for a null text or one without any letter), lang_score and lang_rejected.
 
     lang_score is the calibrated probability. Rejected: no letter, no language learned, or a score not above what every
     calibration row of a right answer had (times 0.9, 0.5 at most), or fewer of its subwords known from training than any
     calibration row had (times 0.9, 0.6 at most). Other columns pass unchanged and are never read; columns
-    of the three new names are replaced.
+    of the three new names are replaced. Invalid UTF-8 counts as replacement characters, which are no letters; repeated
+    rows get equal answers.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
@@ -198,10 +210,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         m = held.value
         score = m.scorer()
         for b in batches:
-            found = [score(t) if m.classes else (-1, 0.0, 0.0) for t in b.column(names.index(text_col)).to_pylist()]
+            found = [score(t.as_py()) if m.classes else (-1, 0.0, 0.0) for t in b.column(len(names))]
             pred = pa.array([m.classes[k] if k >= 0 else UNDETERMINED for k, _, _ in found], pa.string())
             prob = pa.array([p for _, p, _ in found], pa.float64())
             out = pa.array([k < 0 or p <= m.least or s < m.least_seen for k, p, s in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns, pred, prob, out], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pred, prob, out], names=[f.name for f in schema])
 
-    return docs.mapInArrow(lean(scan), schema)
+    every = [F.col(f"`{c}`") for c in names]
+    return docs.select(*every, F.col(f"`{text_col}`").cast("binary").alias("__scored")).mapInArrow(lean(scan), schema)

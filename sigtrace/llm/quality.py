@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, class_sample, lean, unit_hash
+from .common import bounded_batches, class_sample, lean, one_each, row_hash
 from .toxicity import add_score
 
 #: Trusted positives and unlabelled rows taken at most (in expectation).
@@ -72,7 +72,7 @@ WIDTH = KINDS * KINDS + 12
 
 @dataclass
 class QualityModel:
-    """Scaling of the features, one hidden layer, and the margin's calibration."""
+    """Scaling of the features and one hidden layer. The sigmoid of its margin is the score."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -80,24 +80,36 @@ class QualityModel:
     first_bias: np.ndarray
     second: np.ndarray
     second_bias: float
-    slope: float = 1.0
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.tanh(z @ self.first + self.first_bias) @ self.second + self.second_bias
 
-    def score(self, text: bytes | str | None) -> float:
-        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
-        z = float(self.margins(features(raw)[None])[0]) * self.slope
+    def score(self, text: bytes | None) -> float:
+        z = float(self.margins(features(text)[None])[0])
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 9) -> QualityModel:
-    """Minimises prior * R+(g) + max(0, Ru-(g) - prior * R-(g)) with the sigmoid loss by Adam.
+def step(par: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """prior * R+, Ru- - prior * R- (sigmoid loss) of a batch of positive and unlabelled rows, and the gradient to follow.
 
-    Where the second term falls below zero its gradient is reversed, so that the model cannot gain by driving the risk
-    of unlabelled rows under what the prior allows.
+    Where the second term is below zero that is the gradient of its negative alone, so that the model cannot gain by
+    driving the risk of unlabelled rows under what the prior allows.
     """
+    n = len(p)
+    x = np.concatenate([p, u])
+    hidden = np.tanh(x @ par[0] + par[1])
+    g = hidden @ par[2] + par[3][0]
+    s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # the loss of a positive is 1 - s, of a negative s
+    slope = s * (1 - s) / np.concatenate([np.full(n, n), np.full(len(u), len(u))])
+    negative = s[n:].mean() - prior * s[:n].mean()
+    back = np.concatenate([-2 * prior * slope[:n], slope[n:]]) if negative >= 0 else np.concatenate([prior * slope[:n], -slope[n:]])
+    inner = (back[:, None] * par[2]) * (1 - hidden**2)
+    return prior * (1 - s[:n]).mean(), negative, [x.T @ inner, inner.sum(axis=0), hidden.T @ back, np.array([back.sum()])]
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 9) -> QualityModel:
+    """Minimises prior * R+(g) + max(0, Ru-(g) - prior * R-(g)) with the sigmoid loss by Adam, see step()."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
@@ -109,16 +121,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
     for epoch in range(epochs):
         pi, ui = rng.permutation(np.resize(np.arange(len(p)), steps * batch)), rng.permutation(np.resize(np.arange(len(u)), steps * batch))
         for k in range(steps):
-            x = np.concatenate([p[pi[k * batch : (k + 1) * batch]], u[ui[k * batch : (k + 1) * batch]]])
-            hidden = np.tanh(x @ par[0] + par[1])
-            g = hidden @ par[2] + par[3][0]
-            s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # the loss of a positive is 1 - s, of a negative s
-            slope = s * (1 - s) / batch
-            negative = s[batch:].mean() - prior * s[:batch].mean()
-            back = np.concatenate([-prior * slope[:batch] - prior * slope[:batch], slope[batch:]])
-            if negative < 0:
-                back = np.concatenate([prior * slope[:batch], -slope[batch:]])
-            grads = [x.T @ (inner := (back[:, None] * par[2]) * (1 - hidden**2)), inner.sum(axis=0), hidden.T @ back, np.array([back.sum()])]
+            _, _, grads = step(par, p[pi[k * batch : (k + 1) * batch]], u[ui[k * batch : (k + 1) * batch]], prior)
             t += 1
             now = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
             for i, grad in enumerate(grads):
@@ -143,17 +146,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
     if not counts.get(1) or not n_docs:
         return QualityModel(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0)
     prior = min(0.98, max(0.02, counts[1] / sum(counts.values())))
-    trusted, _ = class_sample(known.where("__label = 1"), "__label", positives, "__key")
-    rows = docs.select(F.col(key).alias("__key"), F.col(text_col).cast("binary").alias("__text"))
-    trusted = rows.join(F.broadcast(trusted.select("__key").distinct().withColumn("__trusted", F.lit(1))), "__key", "left")
-    chosen = trusted.where(F.col("__trusted").isNotNull() | (unit_hash("__key", seed=13) < min(1.0, unlabelled / n_docs)))
-    chosen = chosen.select(F.coalesce("__trusted", F.lit(0)).alias("trusted"), F.col("__text").alias("text"))
+    trusted = one_each(class_sample(known.where("__label = 1").withColumn("__pick", row_hash("__key")), "__label", positives).select("__key", F.lit(1).alias("__trusted")), "__key")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text_col).cast("binary").alias("__text"), row_hash(key, text_col, seed=13).alias("__pick"))
+    trusted = rows.join(F.broadcast(trusted), "__key", "left")
+    share = F.shiftrightunsigned("__pick", 11) / F.lit(float(1 << 53))
+    chosen = trusted.where(F.col("__trusted").isNotNull() | (share < min(1.0, unlabelled / n_docs)))
+    # An id counts once among the trusted, with one of its texts; other rows once for each id and text.
+    once = F.when(F.col("__trusted").isNotNull(), row_hash("__key")).otherwise(F.col("__pick"))
+    chosen = chosen.select(F.coalesce("__trusted", F.lit(0)).alias("trusted"), once.alias("once"), F.col("__text").alias("text"))
 
     def scan(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("trusted"), pa.array([features(t).astype(np.float32).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["trusted", "x"])
+            x = pa.array([features(t.as_py()).astype(np.float32).tobytes() for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("trusted"), b.column("once"), x], names=["trusted", "once", "x"])
 
-    got = sorted(chosen.mapInArrow(lean(scan), "trusted int, x binary").collect(), key=lambda r: (r["trusted"], bytes(r["x"])))
+    found = chosen.mapInArrow(lean(scan), "trusted int, once long, x binary").groupBy("trusted", "once").agg(F.min("x").alias("x"))
+    got = sorted(found.collect(), key=lambda r: (r["trusted"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(np.float64) if got else np.zeros((0, WIDTH))
     mark = np.array([r["trusted"] for r in got], bool)
     if not mark.any():

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, near_vectors, packing, quality, sharding, simhash, token_counts, topk, toxicity
-from .common import fold, written
+from .common import fold, shared_dir
 from .tokens import vocabulary
 
 SHARDS = 16
@@ -19,42 +20,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of nearly equal bytes, with a gapless slot. Null texts count 1 byte and checksum 0;
+    rows equal in id and text are rows of their own; grown_shard is null, as the law is bytes."""
     rows = sharding.digest(_table(spark, sf_dir, "documents"))
     out = sharding.shard_by_bytes(rows, SHARDS, "text_hash", "doc_id", "size")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document, for its source's target. Null texts have size 0, null sources are one
+    source; rows that repeat others each have a place in the order. out_shards: the shard of each time it is taken."""
     out = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SHARDS, narrow=True)
     taken = (F.col("size") * F.col("copies")).cast("long")
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws.shard").alias("out_shards"))
 
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = written(token_counts.write_flat(_table(spark, sf_dir, "documents")), "tokens")
-    return token_counts.count_tokens(files, names="doc_ids").select("doc_id", "n_tokens", "file_id", "ordinal", "start")
+    """doc_id, n_tokens, file_id, ordinal, start: documents written as flat token files, counted by the scan alone, then named."""
+    where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    names = token_counts.write_flat(_table(spark, sf_dir, "documents"), where)
+    counts = token_counts.count_tokens(token_counts.flat_files(spark, where, names))
+    return names.select("file_id", "ordinal", "doc_id").join(counts, ["file_id", "ordinal"], "left").select("doc_id", "n_tokens", "file_id", "ordinal", "start")
 
 
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text, null and empty ones too, learned from the labels outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
     return toxicity.toxicity(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five highest integer products of each query vector; rows of a null id or an unusable vector take no part."""
     return topk.search(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
 
 
 def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and keeper of every vector, whatever its label; unusable vectors are alone in their component."""
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 ids in sequences; a null or empty text is one piece of the id 0."""
     out = packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, 0)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learned outside the held-out fold; und for null texts and those without a letter."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(fold("doc_id", 3) != 1))
     out = langid.identify(docs.select("doc_id", "text"), model)
@@ -62,11 +75,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of three-word shingles and group at two bits of every document; texts without a word have fingerprint 0."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, distance=2)
     return out.select("doc_id", simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
 def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, null and empty ones too, from trusted positives outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     return quality.quality(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import json
 import os
 import re
 
@@ -25,12 +26,25 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+#: Steps of a vocabulary that lowers case, drops white space and splits around it: its texts may be cut there.
+_LOWERS = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+_SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def drops_white_space(vocabulary: dict) -> bool:
+    """Whether a vocabulary file's normaliser and splitter are those that Encoder's shortcut is right for."""
+    steps = [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in (vocabulary.get("normalizer") or {}).get("normalizers", [])]
+    first = ((vocabulary.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return steps == _LOWERS and (first.get("pattern") or {}).get("Regex") == _SPLITS and first.get("behavior") == "Removed" and first.get("invert") is True
+
+
 class Encoder:
     """ids(text) equals the tokenizer's own ids, without special tokens added.
 
-    This vocabulary lowers case, drops white space and never joins across it, so that a text's ids are those of its
-    pieces between ASCII white space, one after another. Frequent pieces are looked up, in two generations of bounded
-    size: when the younger is full it becomes the older, and what is still in use moves up.
+    A vocabulary that lowers case, drops white space and never joins across it gives a text the ids of its pieces between
+    ASCII white space, one after another. Frequent pieces are looked up, in two generations of bounded size: when the
+    younger is full it becomes the older, and what is still in use moves up. With any other vocabulary whole texts are
+    encoded. Invalid UTF-8 counts as replacement characters.
     """
 
     def __init__(self, path: str, plain_specials: bool = False):
@@ -38,6 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = drops_white_space(json.load(f))
         if plain_specials:
             self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
@@ -48,6 +64,8 @@ class Encoder:
 
     def ids(self, text: bytes | None) -> np.ndarray:
         text = text or b""
+        if not self.by_pieces:
+            return np.frombuffer(self.encoded(text), "<u4")
         if b"<|" not in text:  # special strings are told apart by case
             text = text.lower()
         pieces = _MARK.sub(b" ", text).split()

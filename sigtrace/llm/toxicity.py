@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, class_sample, lean
+from .common import bounded_batches, class_sample, lean, one_each, plain_text, row_hash
 from .langid import words_of
 from .tokens import forget
 
 #: Labelled rows taken of each label value at most (in expectation), for fitting and calibration together.
 SAMPLE_PER_CLASS = 4000
 BUCKETS, FACTORS = 1 << 18, 8
-#: A term takes part if this many sampled rows hold it, and its share among toxic rows differs from that among others by
-#: this many standard errors; weaker terms would only let the machine learn its rows by heart.
-LEAST_ROWS, LEAST_ERRORS = 5, 5.0
+#: A term takes part if this many sampled rows hold it and it tells alone (its shares in the two classes differ by
+#: LEAST_ERRORS standard errors) or in a pair (PAIR_ERRORS, over the pairs of the PAIR_TERMS terms that divide the rows
+#: most evenly, which are all that a sample of this size can show an interaction of).
+LEAST_ROWS, LEAST_ERRORS, PAIR_ERRORS, PAIR_TERMS = 5, 4.0, 8.0, 3072
+#: Rows that a term of a pair must be in, and must be missing from.
+PAIR_ROWS = 20
 
 
 #: Besides a word itself, its beginnings of these lengths are terms, as many languages build on a stem.
@@ -50,29 +53,63 @@ class ToxicityModel:
     def margin(self, ids: np.ndarray) -> float:
         s = self.slot[ids]
         s = s[s >= 0]
-        v = self.factors[s]
-        return float(self.bias + self.linear[s].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v * v).sum()))
+        return float(self.bias + self.linear[s].sum()) + interactions(self.factors[s])
 
-    def score(self, text: str | None) -> float:
-        z = self.slope * self.margin(terms(text)) + self.shift
+    def score(self, text: bytes | None) -> float:
+        z = self.slope * self.margin(terms(plain_text(text))) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def telling(rows: list[np.ndarray], labels: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Buckets whose shares in the two classes differ clearly; equal rows count once."""
+    """Buckets that say something of the label, alone or only together with another; equal rows count once."""
     distinct = list({(rows[i].tobytes(), labels[i]): i for i in some}.values())
     with_term, n = np.zeros((2, BUCKETS)), np.zeros(2)
     for i in distinct:
         with_term[labels[i], rows[i]] += 1
         n[labels[i]] += 1
     n = np.maximum(n, 1)
-    both = (with_term.sum(axis=0) + 1) / (n.sum() + 2)
+    found = with_term.sum(axis=0)
+    both = (found + 1) / (n.sum() + 2)
     error = np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
     apart = np.abs(with_term[1] / n[1] - with_term[0] / n[0])
-    return np.flatnonzero((with_term.sum(axis=0) >= LEAST_ROWS) & (apart >= LEAST_ERRORS * error))
-
-
-def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, rate: float = 0.1, ridge: float = 1e-3, seed: int = 5) -> ToxicityModel:
+    used = (found >= LEAST_ROWS) & (apart >= LEAST_ERRORS * error)
+    used[telling_pairs([rows[i] for i in distinct], labels[distinct], found)] = True
+    return np.flatnonzero(used)
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose interaction goes with the label: the mean product of both terms and the label, each less its
+    mean and over its deviation, is 0 where the terms act apart, whatever each says alone. found: rows of each term."""
+    even = np.minimum(found, len(rows) - found)
+    terms_ = np.flatnonzero(even >= PAIR_ROWS)
+    terms_ = np.sort(terms_[np.argsort(-even[terms_], kind="stable")[:PAIR_TERMS]])
+    if len(terms_) < 2 or len(np.unique(labels)) < 2:
+        return terms_[:0]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[terms_] = np.arange(len(terms_))
+    x = np.zeros((len(rows), len(terms_)), np.float32)
+    for r, ids in enumerate(rows):
+        at = place[ids]
+        x[r, at[at >= 0]] = 1
+    x -= x.mean(axis=0)
+    x /= x.std(axis=0)
+    y = ((labels - labels.mean()) / labels.std()).astype(np.float32)
+    hit = np.zeros(len(terms_), bool)
+    for lo in range(0, len(terms_), 256):
+        z = np.abs((x[:, lo : lo + 256] * y[:, None]).T @ x) / np.sqrt(len(rows))
+        z[np.arange(len(z)), lo + np.arange(len(z))] = 0
+        strong = z >= PAIR_ERRORS
+        hit[lo : lo + 256] |= strong.any(axis=1)
+        hit |= strong.any(axis=0)
+    return terms_[hit]
+
+
+def interactions(factors: np.ndarray) -> float:
+    """Sum over all pairs of rows of factors of their inner products, in time linear in the rows."""
+    return 0.5 * float((factors.sum(axis=0) ** 2).sum() - (factors * factors).sum())
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, rate: float = 0.1, ridge: float = 1e-3, seed: int = 5) -> ToxicityModel:
     """Logistic loss by AdaGrad over balanced classes; one row in five is kept to calibrate with the classes' true weights."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -104,15 +141,16 @@ def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoch
             some = fit[at : at + 32]
             ids, seg, v, sums, z = parts(some)
             g = balance[some] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[some]) / len(some)
-            touched, place = np.unique(ids, return_inverse=True)
-            grad_l = np.bincount(place, g[seg], len(touched)) + ridge / len(some) * linear[touched]
-            grad_v = np.zeros((len(touched), FACTORS))
-            np.add.at(grad_v, place, g[seg, None] * (sums[seg] - v))
-            grad_v += ridge / len(some) * factors[touched]
-            lin_sq[touched] += grad_l**2
-            fac_sq[touched] += grad_v**2
-            linear[touched] -= rate * grad_l / np.sqrt(lin_sq[touched])
-            factors[touched] -= 0.3 * rate * grad_v / np.sqrt(fac_sq[touched])
+            if len(ids):
+                order = np.argsort(ids, kind="stable")
+                touched, first = np.unique(ids[order], return_index=True)
+                pull = g[seg[order]]
+                grad_l = np.add.reduceat(pull, first) + ridge / len(some) * linear[touched]
+                grad_v = np.add.reduceat(pull[:, None] * (sums[seg[order]] - v[order]), first, axis=0) + ridge / len(some) * factors[touched]
+                lin_sq[touched] += grad_l**2
+                fac_sq[touched] += grad_v**2
+                linear[touched] -= rate * grad_l / np.sqrt(lin_sq[touched])
+                factors[touched] -= 0.3 * rate * grad_v / np.sqrt(fac_sq[touched])
             bias_sq += g.sum() ** 2
             bias -= rate * g.sum() / np.sqrt(bias_sq)
     model = ToxicityModel(slot, linear, factors, float(bias), 1.0, 0.0)
@@ -139,25 +177,31 @@ def platt(z: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60) -> tupl
 
 
 def sampled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text_col: str = "text", key: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Terms, label and weight of a bounded sample of labelled rows. labels(key, label) is sampled before any text is read."""
+    """Terms, label and weight of a bounded sample of labelled ids, one text each. Labels are sampled before any text is read."""
     bounded_batches(docs.sparkSession)
-    rows, shares = class_sample(labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1) & F.col("__key").isNotNull()), "__label", per_class, "__key")
-    both = docs.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).join(F.broadcast(rows), "__key").select("__key", "__label", "__text")
+    known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1) & F.col("__key").isNotNull())
+    rows = one_each(class_sample(known.withColumn("__pick", row_hash("__key")), "__label", per_class), "__key", "__label")
+    texts = docs.select(F.col(key).alias("__key"), F.col(text_col).cast("binary").alias("__text"))
+    # About per_class ids of each of two classes: what is broadcast has a bound that does not grow.
+    both = texts.join(F.broadcast(rows), "__key").select("__key", "__label", "__share", "__text")
 
     def scan(batches):
         for b in batches:
-            ids = [terms(t).astype(np.int32).tobytes() for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__key").cast(pa.string()), b.column("__label"), pa.array(ids, pa.binary())], names=["key", "label", "ids"])
+            ids = [terms(plain_text(t.as_py())).astype(np.int32).tobytes() for t in b.column("__text")]
+            yield pa.RecordBatch.from_arrays([b.column("__key").cast(pa.string()), b.column("__label"), b.column("__share"), pa.array(ids, pa.binary())], names=["key", "label", "share", "ids"])
 
-    got = sorted(both.mapInArrow(lean(scan), "key string, label int, ids binary").collect(), key=lambda r: (r["key"], r["label"], bytes(r["ids"])))
+    found = both.mapInArrow(lean(scan), "key string, label int, share double, ids binary")
+    found = found.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("ids"), "ids", "share")).alias("one")).select("key", "label", "one.share", "one.ids")
+    got = sorted(found.collect(), key=lambda r: (r["key"], r["label"]))
     y = np.array([r["label"] for r in got], np.int64)
-    return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in got], y, np.array([1 / shares[int(k)] for k in y])
+    return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in got], y, np.array([1 / r["share"] for r in got])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, text_col: str = "text", key: str = "doc_id") -> ToxicityModel:
-    """Trains on at most about per_class labelled rows of each class; the ids alone are joined to the documents.
+    """Trains on at most about per_class labelled ids of each class; the ids alone are joined to the documents.
 
-    With no labelled row at all every text scores one half; rows with a null key, label or text add nothing.
+    With no labelled row at all every text scores one half; rows with a null key, label or text add nothing. An id that
+    repeats counts once for each label it has, with one of its texts, the same in each run.
     """
     rows, y, w = sampled_terms(docs.where(F.col(text_col).isNotNull()), labels, label, per_class, text_col, key)
     if not len(y):
@@ -166,9 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 
 def add_score(docs: DataFrame, model, out: str, text_col: str = "text") -> DataFrame:
-    """docs with one more column: model.score of the whole text (null and empty texts are scored too).
+    """docs with one more column: model.score of the whole text as bytes (null and empty texts are scored too).
 
-    A column of that name is replaced; others pass unchanged."""
+    A column of that name is replaced; others pass unchanged, invalid UTF-8 too, which counts as replacement characters.
+    """
     bounded_batches(docs.sparkSession)
     docs = docs.drop(out)
     names = docs.columns
@@ -179,10 +224,11 @@ def add_score(docs: DataFrame, model, out: str, text_col: str = "text") -> DataF
         forget()
         score = held.value.score
         for b in batches:
-            found = [score(t) for t in b.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[f.name for f in schema])
+            found = [score(t.as_py()) for t in b.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64())], names=[f.name for f in schema])
 
-    return docs.mapInArrow(lean(scan), schema)
+    every = [F.col(f"`{c}`") for c in names]
+    return docs.select(*every, F.col(f"`{text_col}`").cast("binary").alias("__scored")).mapInArrow(lean(scan), schema)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least: float = 0.3) -> DataFrame:

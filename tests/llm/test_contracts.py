@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigtrace.llm import mixing, sharding
+from sigtrace.llm import langid, mixing, quality, queries, sharding, toxicity
+from sigtrace.llm.common import among_equals
 
 DATA = "/root/testdata/sf0.01"
 
@@ -103,3 +104,149 @@ def test_whole_passes_draw_every_block_once_and_shards_are_even():
 def test_names_that_clash_stay(uneven):
     out = mixing.mix(uneven, 4)
     assert out.columns == [*uneven.columns, "out_shard", "shuffle_key"] and {r[0] for r in out.select("draws").distinct().collect()} == {"own"}
+
+
+def test_numbers_among_equals(spark):
+    rows = spark.range(1000).repartition(5).selectExpr("case when id % 3 = 0 then 7 else id div 2 end k", "id")
+    got = among_equals(rows, "k").toPandas()
+    assert len(got) == 1000 and all(sorted(g) == list(range(len(g))) for _, g in got.groupby("k")["__nth"])
+
+
+def test_factor_sum_against_all_pairs():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 9):
+        v = rng.normal(size=(n, 4))
+        assert toxicity.interactions(v) == pytest.approx(sum(float(v[i] @ v[j]) for i in range(n) for j in range(i)))
+
+
+def exclusive(n=4000, a=1007, b=1009):
+    """Rows of common terms; the label is 1 where exactly one of two terms is there, so neither alone says anything."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for _ in range(n):
+        one, two = rng.random(2) < 0.5
+        rows.append(np.unique(np.concatenate([rng.choice(180, 30, replace=False), [a] * int(one), [b] * int(two)]).astype(np.int64)))
+        labels.append(int(one != two))
+    return rows, np.array(labels)
+
+
+def test_terms_that_tell_only_together_are_learned():
+    rows, labels = exclusive()
+    assert {1007, 1009} <= set(toxicity.telling(rows, labels, np.arange(len(rows))))
+    model = toxicity.train(rows[:3000], labels[:3000], np.ones(3000))
+    z = np.array([model.slope * model.margin(r) + model.shift for r in rows[3000:]])
+    assert ((z > 0) == labels[3000:]).mean() >= 0.95
+
+
+def test_pairs_against_plain_sums():
+    rng = np.random.default_rng(6)
+    n = 600
+    x = (rng.random((n, 12)) < rng.uniform(0.1, 0.9, 12)).astype(int)
+    y = ((x[:, 2] != x[:, 5]) ^ (rng.random(n) < 0.2)).astype(int)
+    found = np.zeros(toxicity.BUCKETS)
+    found[:12] = x.sum(axis=0)
+    want = set()
+    for i in range(12):
+        for j in range(i):
+            parts = [(c - c.mean()) / c.std() for c in (x[:, i], x[:, j], y)]
+            if abs(sum(a * b * c for a, b, c in zip(*parts, strict=True))) / n**0.5 >= toxicity.PAIR_ERRORS:
+                want |= {i, j}
+    assert set(toxicity.telling_pairs([np.flatnonzero(r) for r in x], y, found)) == want == {2, 5}
+
+
+def slopes(value, arrays, at=1e-6):
+    """Gradient of value() by central differences in every entry of arrays."""
+    out = []
+    for a in arrays:
+        g = np.zeros_like(a)
+        for i in np.ndindex(a.shape):
+            keep = a[i]
+            a[i] = keep + at
+            up = value()
+            a[i] = keep - at
+            g[i] = (up - value()) / (2 * at)
+            a[i] = keep
+        out.append(g)
+    return out
+
+
+def small_net():
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (7, 5)), rng.normal(0, 1, (11, 5))
+    return p, u, [rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+
+
+@pytest.mark.parametrize(("prior", "sign"), [(0.2, 1), (2.0, -1)])
+def test_quality_risk_and_gradient_against_sums_and_differences(prior, sign):
+    p, u, par = small_net()
+
+    def parts():
+        score = lambda x: 1 / (1 + np.exp(-sum(par[2][h] * np.tanh(sum(x[i] * par[0][i, h] for i in range(5)) + par[1][h]) for h in range(3)) - par[3][0]))
+        sp, su = [score(x) for x in p], [score(x) for x in u]
+        return prior * sum(1 - s for s in sp) / 7, sum(su) / 11 - prior * sum(sp) / 7
+
+    plus, negative, grads = quality.step(par, p, u, prior)
+    assert (plus, negative) == pytest.approx(parts()) and negative * sign > 0
+    goal = (lambda: sum(parts())) if negative >= 0 else (lambda: -parts()[1])
+    for got, want in zip(grads, slopes(goal, par), strict=True):
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_language_loss_and_gradient_against_sums_and_differences():
+    rng = np.random.default_rng(7)
+    mean, weight, labels, balance = rng.normal(size=(6, 4)), rng.normal(size=(4, 3)), rng.integers(0, 3, 6), rng.uniform(0.5, 2, 6)
+
+    def value():
+        out = 0.0
+        for m, y, b in zip(mean, labels, balance, strict=True):
+            logits = [sum(m[i] * weight[i, c] for i in range(4)) for c in range(3)]
+            out -= b * (logits[y] - np.log(sum(np.exp(v) for v in logits)))
+        return out / 6
+
+    got, *grads = langid.loss(mean, weight, labels, balance)
+    assert got == pytest.approx(value())
+    for g, want in zip(grads, slopes(value, [mean, weight]), strict=True):
+        assert g == pytest.approx(want, abs=1e-6)
+
+
+def test_words_are_letters_alone():
+    assert langid.words_of("\u00bd \u00b2 \u2167 12") == []
+    assert langid.words_of("x\u00b2y Stra\u00dfe_1\u00e9t\u00e9") == ["x", "y", "stra\u00dfe", "\u00e9t\u00e9"]
+
+
+@pytest.fixture(scope="module")
+def damaged(spark):
+    """Invalid UTF-8 in every text column, missing ids, an id that a third of all rows share."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(300)
+    bad = F.expr("cast(concat(cast(text as binary), X'FF20C3') as string)")
+    more = docs.withColumns({"text": bad, "source": F.expr("cast(X'FFFE' as string)"), "doc_id": F.lit(None).cast("long")})
+    same = docs.withColumns({"doc_id": F.lit(5).cast("long"), "lang": F.lit("en")})
+    return docs.unionByName(more).unionByName(same).withColumns({"__scored": F.lit("mine"), "toxic_score": F.lit("x")})
+
+
+def test_invalid_bytes_and_repeated_ids_in_classifiers(spark, damaged):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").unionByName(spark.createDataFrame([(5, 1, 0), (5, 1, 0), (5, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int"))
+    docs = damaged.drop("__scored")
+    rows, y, weights = toxicity.sampled_terms(docs, labels, "toxic", 4000)
+    known = {r["doc_id"] for r in labels.where("toxic is not null and doc_id is not null").collect()}
+    ids = {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
+    assert len(rows) == len(known & ids) + 1 and len(rows) == len(y) == len(weights)  # 5 is labelled twice over
+    scored = toxicity.toxicity(docs, toxicity.train(rows, y, weights))
+    assert scored.where("toxic_score between 0 and 1").count() == 900 and scored.columns[-2:] == ["toxic_score", "toxic"]
+    assert quality.quality(docs, quality.fit(docs, labels)).where("quality_score between 0 and 1").count() == 900
+    out = langid.identify(docs, langid.fit(docs)).select("doc_id", "lang_pred", F.hex("source").alias("raw")).toPandas()
+    assert len(out) == 900 and (out.raw == "FFFE").sum() == 300
+
+
+def test_samples_have_a_bound_by_rows(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('wort', id % 50) text", "'de' lang")
+    assert 1 <= len(langid.fit(rows, per_class=10).classes) <= 1
+    many = spark.range(2000).selectExpr("id doc_id", "concat('wort', id) text", "concat('l', id % 400) lang")
+    assert len(langid.fit(many, per_class=1000).classes) == 400
+
+
+def test_no_letter_is_undetermined(spark):
+    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    rows = spark.createDataFrame([("\u00bd \u00b2 \u2167",), (None,), ("",), ("123 ...",)], "text string")
+    assert {r["lang_pred"] for r in langid.identify(rows, model).collect()} == {"und"}
+    assert queries.op8_language_id.__doc__

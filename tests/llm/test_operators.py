@@ -93,19 +93,46 @@ def test_mix_shards_are_balanced(spark):
     assert len(n) == 4 and n.min() > 0.3 * n.max()
 
 
-def test_token_counts_across_blocks(spark, docs):
+def test_token_counts_across_blocks(spark, docs, tmp_path):
     enc = Encoder(vocabulary(), plain_specials=True)
-    files = token_counts.write_flat(spark.read.parquet(f"{DATA}/documents.parquet"), block_ids=500)
-    out = token_counts.count_tokens(files, block_ids=500, names="doc_ids").toPandas().set_index("doc_id")
+    where = str(tmp_path / "tokens")
+    names = token_counts.write_flat(spark.read.parquet(f"{DATA}/documents.parquet").repartition(3), where)
+    out = token_counts.count_tokens(token_counts.flat_files(spark, where, names), block_ids=500)
+    assert out.where("ended").count() == out.count() == len(docs)
+    out = names.join(out, ["file_id", "ordinal"]).toPandas().set_index("doc_id")
+    assert out.file_id.nunique() == 3
     assert out.n_tokens.sort_index().tolist() == [len(enc.ids(t.encode())) for t in docs.text]
-    assert out.ended.all() and (out.sort_values("ordinal").groupby("file_id").ordinal.diff().dropna() == 1).all()
-
-
-def test_token_files_without_a_last_separator(spark, tmp_path):
-    ids = np.array([1, 2, 9, 9, 3, 4, 5, 9, 6], "<u2")
-    (tmp_path / "a.bin").write_bytes(ids.tobytes())
-    out = token_counts.count_tokens(token_counts.read_flat(spark, str(tmp_path), block_ids=3), end_id=9, block_ids=3).orderBy("ordinal").collect()
-    assert [(r["start"], r["n_tokens"], r["ended"]) for r in out] == [(0, 2, True), (3, 0, True), (4, 3, True), (8, 1, False)]
+    assert (out.sort_values("ordinal").groupby("file_id").ordinal.diff().dropna() == 1).all()
+    # The files hold nothing but ids: each document's, and the end id.
+    for path in (tmp_path / "tokens").glob("*.ids"):
+        mine = out[out.file_id == int(path.name[:6])].sort_values("ordinal")
+        want = np.concatenate([np.append(enc.ids(docs.text[d].encode()), token_counts.END_ID) for d in mine.index])
+        assert path.read_bytes() == want.astype("<u2").tobytes()
+
+
+def test_files_that_no_row_lists_do_not_count(spark, tmp_path):
+    where = str(tmp_path / "tokens")
+    names = token_counts.write_flat(spark.createDataFrame([(1, "one two"), (None, None)], "doc_id long, text string").coalesce(1), where)
+    (tmp_path / "tokens" / "000000-lost.ids").write_bytes(b"\1\0\xff\xc0")
+    out = token_counts.count_tokens(token_counts.flat_files(spark, where, names)).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["n_tokens"]) for r in out] == [(0, 2), (1, 0)]
+
+
+@pytest.mark.parametrize(("block", "group"), [(3, 1024), (1, 2), (4, 1), (100, 1024)])
+def test_token_files_without_a_last_separator(spark, tmp_path, monkeypatch, block, group):
+    monkeypatch.setattr(token_counts, "GROUP_BLOCKS", group)
+    rng, want = np.random.default_rng(block), set()
+    files = {"a": [1, 2, 9, 9, 3, 4, 5, 9, 6], "b": [], "c": [7] * 20, "d": [9, 9], "e": rng.integers(5, 10, 200).tolist()}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes() + b"\7" * (name == "a"))
+        start = 0
+        for i, x in enumerate([*ids, None]):
+            if x == 9 or x is None and start < len(ids):
+                want.add((name, ids[:start].count(9), start, i - start, x == 9))
+                start = i + 1
+    listed = token_counts.flat_files(spark, str(tmp_path))
+    out = token_counts.count_tokens(listed, end_id=9, block_ids=block).join(listed, "file_id").collect()
+    assert {(r["path"][-1], r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in out} == want and len(out) == len(want)
 
 
 def test_encoder_equals_the_tokenizer(docs):
@@ -116,6 +143,15 @@ def test_encoder_equals_the_tokenizer(docs):
         assert enc.ids(t.encode()).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    plain, enc = Tokenizer.from_file(path), Encoder(path)
+    text = "Two  Words, a\tTab\n\nand MORE."
+    assert not enc.by_pieces and Encoder(vocabulary()).by_pieces and enc.ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, docs):
     out = packing.pack_documents(spark.read.parquet(f"{DATA}/documents.parquet"), with_ids=True).toPandas()
     enc = Encoder(vocabulary())
@@ -258,13 +294,15 @@ def test_unknown_scripts_are_rejected(spark):
     assert [r["lang_rejected"] for r in langid.identify(rows, model).collect()] == [True, True, True]
 
 
-def test_awkward_tables(spark, odd, empty):
+def test_awkward_tables(spark, odd, empty, tmp_path):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (8, 0, 1), (7, None, None), (8, 0, 1)], "doc_id long, quality int, toxic int")
     for table, n in ((odd, 11), (empty, 0)):
         assert sharding.shard_by_bytes(sharding.digest(table), 16, "text_hash", "doc_id", "size").count() == n
         assert mixing.mixed(table).count() == n
         assert set(mixing.mix(table).columns) == {*table.columns, "out_shard", "shuffle_key"} and mixing.mix(table).count() >= 0
-        assert token_counts.count_tokens(token_counts.write_flat(table, block_ids=1000), block_ids=1000, names="doc_ids").count() == n
+        where = str(tmp_path / f"tokens{n}")
+        names = token_counts.write_flat(table, where)
+        assert names.count() == n and token_counts.count_tokens(token_counts.flat_files(spark, where, names), block_ids=1000).count() == n
         assert packing.pack_documents(table).where("piece = 0").count() == n
         assert simhash.near_duplicates(table).count() == n
         assert simhash.similar_documents(table).count() == n
