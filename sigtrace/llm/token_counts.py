@@ -105,7 +105,7 @@ def count_tokens(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOCK_
     total = files.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, min(-(-total // task_bytes), 1 << 20), min(spark.sparkContext.defaultParallelism, -(-total // step)))
     ranges = files.where(F.col("length") >= width).select("file_id", "path", F.floor(F.col("length") / width).alias("ids"))
-    ranges = ranges.withColumn("block", F.explode(F.expr(f"sequence(0L, (ids - 1) div {block_ids * per_range}L)")) * per_range)
+    ranges = ranges.withColumn("block", F.explode(F.expr(f"transform(sequence(0L, (ids - 1) div {block_ids * per_range}L), k -> k * {per_range}L)")))
     ranges = ranges.repartition(int(tasks), "file_id", "block")
     schema = T.StructType([T.StructField("file_id", files.schema["file_id"].dataType), T.StructField("block", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
 
