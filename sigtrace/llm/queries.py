@@ -96,18 +96,18 @@ def oracle_sql() -> dict[str, str]:
     """The others rest on hashes that DuckDB lacks, on learned models, or on choices that only a contract bounds."""
     return {
         "op5_exact_topk": """
-            WITH good AS (
-                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
-                FROM embeddings
-                WHERE embedding IS NOT NULL AND len(embedding) > 0
+            WITH numbered AS (SELECT *, row_number() OVER () AS r FROM embeddings), good AS (
+                SELECT r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+                FROM numbered
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
             ), scored AS (
-                SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-                FROM good a JOIN good b ON a.vec_id <> b.vec_id
+                SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+                FROM good a JOIN good b ON a.r <> b.r AND len(a.q) = len(b.q)
                 WHERE a.vec_id % 50 = 0
             )
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+                SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored
             ) WHERE rank <= 5""",
         "op6_vector_near_dedup": """
             WITH RECURSIVE good AS (

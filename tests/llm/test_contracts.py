@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigtrace.llm import langid, mixing, quality, queries, sharding, toxicity
+from sigtrace.llm import langid, mixing, quality, queries, sharding, topk, toxicity
 from sigtrace.llm.common import among_equals
 
 DATA = "/root/testdata/sf0.01"
@@ -250,3 +250,47 @@ def test_no_letter_is_undetermined(spark):
     rows = spark.createDataFrame([("\u00bd \u00b2 \u2167",), (None,), ("",), ("123 ...",)], "text string")
     assert {r["lang_pred"] for r in langid.identify(rows, model).collect()} == {"und"}
     assert queries.op8_language_id.__doc__
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_search_with_repeated_ids_and_ties_against_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    rng = np.random.default_rng(seed)
+    ids, x = rng.integers(0, 150, 400), rng.integers(-2, 3, (400, 6)) / 256
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    rows += [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (7, [1.0, 2.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.pmod("vec_id", F.lit(50)) == 0).collect()
+    q = [np.floor(256 * np.array(v)).astype(int) for _, v in rows]
+    want = []
+    for a, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            scores = sorted((-int(q[a] @ q[b]), j) for b, (j, _) in enumerate(rows) if b != a and len(q[a]) == len(q[b]))[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
+def test_bounds_hold_and_prune(capsys):
+    import duckdb
+
+    df = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").df()
+    x = np.floor(256 * np.stack(df.embedding).astype(float)).astype(np.int64)
+    q, nums = x[::50], np.arange(len(x))
+    score = q @ x.T
+    score[np.arange(len(q)), nums[::50]] = -(1 << 40)
+    low = topk.floors(nums[::50], q, nums, x, 5)
+    assert (low == np.sort(score, axis=1)[:, -5]).all()
+    for turn in (topk.plain_turn(x.shape[1]), topk.fitted_turn(x.astype(float))):
+        alive = topk.survivors(q, x, low, turn)
+        assert all((a | ~b).all() for a, b in zip(alive, alive[1:], strict=False))
+        assert alive[-1][score >= low[:, None]].all()  # nothing that belongs to the answer is lost
+        with capsys.disabled():
+            print("share alive after each resolution:", [round(float(a.mean()), 4) for a in alive])
+        assert alive[-1].mean() < 0.3
+    # Where energy lies in few directions, the turn lets coarse segments prune.
+    rng = np.random.default_rng(0)
+    y = np.floor(256 * rng.normal(size=(3000, 8)) @ rng.normal(size=(8, 64))).astype(np.int64)
+    low = topk.floors(nums[:50], y[:50], np.arange(3000), y, 5)
+    plain, turned = (topk.survivors(y[:50], y, low, t)[0].mean() for t in (topk.plain_turn(64), topk.fitted_turn(y.astype(float))))
+    with capsys.disabled():
+        print("share alive after the coarsest resolution:", round(float(plain), 3), "turned:", round(float(turned), 3))
+    assert turned < 0.1 < plain

@@ -401,13 +401,6 @@ def test_rows_that_share_an_id_go_by_their_own_text(spark):
     assert sorted(map(tuple, out)) == sorted([(1, one), (7, two), (8, three), (8, "quite another text")])
 
 
-def test_topk_counts_repeated_ids_once():
-    ids = np.array([1] * 30 + list(range(2, 40)))
-    rows = np.array([[100]] * 30 + [[50 - i] for i in range(38)])
-    i, j, score = topk.best(np.array([0]), np.array([[1]]), ids, rows, 5)
-    assert ids[j].tolist() == [1, 2, 3, 4, 5] and score.tolist() == [100, 50, 49, 48, 47]
-
-
 def test_pipeline_mix_is_in_shuffled_order(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(300)
     want = [r["doc_id"] for r in mixing.mix(docs).orderBy("out_shard", "shuffle_key").select("doc_id").collect()]
