@@ -28,10 +28,13 @@ PIECE = [
 def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Each document's token ids and an end id, cut into pieces of capacity ids; only longer documents are cut.
 
-    Null and empty texts are one piece of the end id alone. with_ids adds the ids themselves as little-endian bytes.
+    Null and empty texts are one piece of the end id alone, invalid UTF-8 counts as replacement characters, repeated rows
+    are rows of their own, and an empty table gives none. Columns to keep that have the name of a new one are replaced.
+    with_ids adds the ids themselves as little-endian bytes.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_col).cast("binary").alias("__text"))
+    keep = tuple(c for c in keep if c not in {f.name for f in PIECE} | ({"ids"} if with_ids else set()))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), *PIECE, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def scan(batches):
@@ -94,43 +97,46 @@ def pack(pieces: DataFrame, capacity: int = 2048, block_pieces: int = BLOCK_PIEC
 
     Full pieces are sequences of their own. The others are dealt evenly into blocks of about block_pieces rows, by a
     hash of the whole row and its place, and each block is packed by sum_of_squares from the longest piece down; a
-    second pass takes the pieces of sequences that stayed too empty from all blocks and packs those anew. A block's rows
-    are a few numbers each, so a task's memory is bounded, and rows of one document or copies of a text are spread. Every
-    row comes back once: repeated rows, nulls in other columns and an empty table need no special case.
+    second pass takes the pieces of sequences that stayed too empty from all blocks and packs those anew. What a block
+    packs is a number and a length for each of its rows, so a task's memory is bounded whatever the pieces hold; their
+    other columns join afterwards. Rows of one document or copies of a text are spread. Every row comes back once:
+    repeated rows, nulls in other columns and an empty table need no special case. Columns named sequence_id or offset
+    are replaced. Pieces longer than capacity, or of a null length, raise an error.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
-    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("filled", T.LongType())])
-    full = pieces.where(F.col(length_col) >= capacity)
-    rest = pieces.where(F.col(length_col) < capacity)
+    numbered = written(pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__piece"), F.col(f"`{length_col}`").cast("long").alias("__length")).withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    fits = F.when(F.col("__length").between(0, capacity), F.col("__length")).otherwise(F.raise_error(F.lit("a piece is longer than a sequence, or of no length")))
+    narrow = numbered.select("__number", fits.cast("long").alias("__length"))
+    rest = narrow.where(F.col("__length") < capacity)
+    schema = "__number long, __length long, sequence_id long, offset long, __filled long"
 
     def packed(rows: DataFrame, blocks: int, first: int) -> DataFrame:
         def one(block: pd.DataFrame) -> pd.DataFrame:
             number = int(block["__block"].iloc[0])
-            rows = block.drop(columns="__block").sort_values([length_col, *[c for c in names if c != length_col and block[c].dtype.kind in "iuf"]], ascending=False, kind="stable").reset_index(drop=True)
-            lengths = rows[length_col].to_numpy(np.int64)
+            rows = block.drop(columns="__block").sort_values(["__length", "__number"], ascending=False, kind="stable").reset_index(drop=True)
+            lengths = rows["__length"].to_numpy(np.int64)
             bins, offsets = sum_of_squares(lengths, capacity)
             filled = np.bincount(bins, weights=lengths).astype(np.int64)
-            return rows.assign(sequence_id=bins + ((first + number) << 32), offset=offsets, filled=filled[bins])
+            return rows.assign(sequence_id=bins + ((first + number) << 32), offset=offsets, __filled=filled[bins])
 
-        dealt = rows.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + first), *[F.col(c) for c in names], F.col("__salt")), F.lit(blocks)))
-        return dealt.drop("__salt").groupBy("__block").applyInPandas(one, schema)
+        dealt = rows.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + first), "__number"), F.lit(blocks)))
+        return dealt.groupBy("__block").applyInPandas(one, schema)
 
     n = rest.count()
     blocks = max(1, -(-n // block_pieces))
-    # Repeated rows must not meet in one block; where a row came from only spreads them and has no other effect.
-    rest = rest.withColumn("__salt", F.monotonically_increasing_id())
     done = written(packed(rest, blocks, 0), "packed")
-    good = done.where(F.col("filled") >= int(capacity * 0.98))
-    poor = done.where(F.col("filled") < int(capacity * 0.98))
+    good = done.where(F.col("__filled") >= int(capacity * 0.98))
+    poor = done.where(F.col("__filled") < int(capacity * 0.98))
     if blocks > 1:
         m = poor.count()
-        again = poor.select(*names).withColumn("__salt", F.monotonically_increasing_id())
-        poor = packed(again, max(1, -(-m // block_pieces)), blocks)
-    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return alone.unionByName(good.drop("filled")).unionByName(poor.drop("filled"))
+        poor = packed(poor.select("__number", "__length"), max(1, -(-m // block_pieces)), blocks)
+    places = good.unionByName(poor).select("__number", "sequence_id", "offset")
+    alone = numbered.where(F.col("__length") >= capacity).select("__piece", (-1 - F.col("__number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = numbered.where(F.col("__length") < capacity).join(places, "__number").select("__piece", "sequence_id", "offset")
+    return alone.unionByName(placed).select(*[F.col("__piece").getField(c).alias(c) for c in names], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack: keep columns, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    pieces = written(cut(docs, path or vocabulary(), capacity, end_id, text_col, keep, with_ids), "pieces")
-    return pack(pieces, capacity)
+    """Tokenise, cut and pack: keep columns, piece, start, length, ids_crc32, [ids,] sequence_id, offset. See cut() and pack()."""
+    return pack(cut(docs, path or vocabulary(), capacity, end_id, text_col, keep, with_ids), capacity)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigtrace.llm import langid, mixing, quality, queries, sharding, topk, toxicity
+from sigtrace.llm import langid, mixing, near_vectors, packing, quality, queries, sharding, topk, toxicity
 from sigtrace.llm.common import among_equals
 
 DATA = "/root/testdata/sf0.01"
@@ -294,3 +294,43 @@ def test_bounds_hold_and_prune(capsys):
     with capsys.disabled():
         print("share alive after the coarsest resolution:", round(float(plain), 3), "turned:", round(float(turned), 3))
     assert turned < 0.1 < plain
+
+
+def test_packing_replaces_clashing_names_and_moves_few_numbers(spark):
+    rows = [(i % 3, "word " * (37 * i % 5000), "x", 1, "mine") for i in range(60)] + [(None, None, None, None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, offset string, piece int, filled string")
+    out = packing.pack_documents(docs, keep=("doc_id", "offset", "piece", "filled"), with_ids=True)
+    got = out.toPandas()
+    assert out.columns == ["doc_id", "filled", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    assert (got.piece == 0).sum() == 65 and got.filled.isna().sum() == 5 and (got.ids.map(len) == 4 * got.length).all()
+    s = got.sort_values(["sequence_id", "offset"])
+    assert (s.groupby("sequence_id").length.cumsum() - s.length == s.offset).all() and s.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_blocks_of_packing_give_each_piece_one_place(spark):
+    rows = spark.range(900).selectExpr("id % 7 a", "cast(1 + id * 37 % 2047 as long) length")
+    out = packing.pack(rows, 2048, block_pieces=200).toPandas()
+    assert sorted(zip(out.a, out.length, strict=True)) == sorted((i % 7, 1 + i * 37 % 2047) for i in range(900))
+    s = out.sort_values(["sequence_id", "offset"])
+    assert (s.groupby("sequence_id").length.cumsum() - s.length == s.offset).all() and s.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_near_vectors_with_repeated_ids_and_ties(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 2.0, 0.0]), (3, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0]), (4, [0.01, 0.0, 5.0]), (0, [-1.0, 0.0, 0.0])]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False)]
+
+
+def test_links_at_the_very_threshold(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))
+    x = np.concatenate([x, x + rng.normal(size=(60, 3)) * 0.15])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
+    near = u @ u.T >= 0.95
+    assert got.n_links.tolist() == (near.sum(axis=1) - 1).tolist()
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.array([root[n].min() for n in near])
+    assert got.component_id.tolist() == root.tolist()
