@@ -20,7 +20,7 @@ def clean_text(df: DataFrame, text_col: str = "text", **options: bool) -> DataFr
 
 def verify_text(df: DataFrame, keys: list[str], text_col: str = "text", **options: bool) -> DataFrame:
     """Findings before and after cleaning, compared."""
-    return compare(analyze_text(df, keys, text_col), analyze_text(text.clean_text(df, text_col, options, actions=False), keys, text_col), keys)
+    return text.verify_cleaning(df, keys, text_col, options)
 
 
 def analyze(files: DataFrame) -> DataFrame:

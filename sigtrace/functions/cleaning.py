@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import marks as M
+from .text_marks import ends_in_space, odd, times
 
 #: Steps in order, and whether they run by default.
 STEPS = {
@@ -45,17 +46,17 @@ def strip_invisible(t: Column) -> Column:
 
 
 def fix_homoglyphs(t: Column) -> Column:
-    """Maps confusables in words that hold an ASCII letter; texts without any confusable are not split."""
+    """Maps confusables in words that hold an ASCII letter."""
     parts = F.regexp_extract_all(t, F.lit(f"([{M.LETTERS}]+|[^{M.LETTERS}]+)"), F.lit(1))
-    fixed = F.array_join(F.transform(parts, lambda w: F.when(w.rlike("[A-Za-z]") & w.rlike(f"^[{M.LETTERS}]"), F.translate(w, *M.confusables())).otherwise(w)), "")
-    return F.when(t.rlike(f"[{M.confusable_class()}]"), fixed).otherwise(t)
+    mapped = lambda w: F.when(w.rlike("[A-Za-z]") & w.rlike(f"^[{M.LETTERS}]"), F.translate(w, *M.confusables())).otherwise(w)
+    return F.array_join(F.transform(parts, lambda w: F.when(F.octet_length(w) == F.length(w), w).otherwise(mapped(w))), "")
 
 
 def normalize_whitespace(t: Column) -> Column:
     """One kind of line end, no white space at line ends, one space for two or more between other characters."""
-    t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, r"(?md)[ \t]+$", "")
-    return F.regexp_replace(t, f"(?<=[^{M.SPACES}]) {{2,}}(?=[^{M.SPACES}])", " ")
+    t = F.when(F.contains(t, F.lit("\r")), F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))).otherwise(t)
+    t = F.when(ends_in_space(t), F.regexp_replace(t, r"(?md)[ \t]+$", "")).otherwise(t)
+    return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, f"(?<=[^{M.SPACES}]) {{2,}}(?=[^{M.SPACES}])", " ")).otherwise(t)
 
 
 def normalize_typography(t: Column) -> Column:
@@ -75,6 +76,28 @@ RUN: dict[str, Callable[[Column], Column]] = {
     "normalize_typography": normalize_typography,
 }
 
+#: Class of the odd characters without which a step changes nothing. Only the step nfkc makes new ones.
+NEEDS: dict[str, str] = {
+    "strip_invisible": f"{M.TAGS}{M.SELECTORS_MORE}{M.SELECTORS}{M.ZERO_WIDTH}",
+    "strip_bidi": M.BIDI,
+    "remove_soft_hyphen": r"\x{00AD}",
+    "normalize_spaces": M.UNUSUAL_SPACES,
+    "fix_homoglyphs": M.confusable_class(),
+    "strip_private_use": M.PRIVATE_USE,
+    "normalize_typography": r"\x{201C}\x{201D}\x{2018}\x{2019}\x{2013}\x{2014}\x{2026}\x{00A0}",
+}
+
+
+def needed(step: str, odd_chars: Column) -> Column | None:
+    """Whether a text with these odd characters needs the step; None for the steps that look for themselves."""
+    return odd_chars.rlike(f"[{NEEDS[step]}]") if step in NEEDS else None
+
+
+def run(step: str, t: Column, odd_chars: Column) -> Column:
+    """The text after a step, itself where its odd characters show that nothing is to be done."""
+    gate = needed(step, odd_chars)
+    return RUN[step](t) if gate is None else F.when(gate, RUN[step](t)).otherwise(t)
+
 
 def chosen(options: dict[str, bool] | None) -> list[str]:
     """The steps to run, in order; unknown options are ignored."""
@@ -85,32 +108,42 @@ def _n(t: Column, pattern: str) -> Column:
     return F.regexp_count(t, F.lit(pattern))
 
 
+# What each step says it did, with its count.
+SAID = {
+    "nfkc": "Applied NFKC normalization",
+    "strip_invisible": "Removed %d invisible/tag/variation-selector characters",
+    "strip_bidi": "Removed %d bidi control characters",
+    "remove_soft_hyphen": "Removed %d soft hyphens",
+    "normalize_spaces": "Normalized %d unusual space characters to U+0020",
+    "fix_homoglyphs": "Mapped %d confusable characters to Latin",
+    "strip_private_use": "Removed %d private-use characters",
+    "normalize_whitespace": ("Normalized whitespace: ", "%d CRLF→LF", "trailing whitespace on %d lines", "%d double spaces collapsed"),
+    "normalize_typography": "Normalized %d typographic variants",
+}
+
+
 def action(step: str, before: Column, after: Column) -> Column:
     """What a step did, as a sentence, or null where it did nothing."""
-    lost = F.length(before) - F.length(after)
     say = lambda n, text: F.when(n > 0, F.format_string(text, n))
     if step == "nfkc":
-        return F.lit("Applied NFKC normalization")
-    if step == "strip_invisible":
-        return say(lost, "Removed %d invisible/tag/variation-selector characters")
-    if step == "strip_bidi":
-        return say(lost, "Removed %d bidi control characters")
-    if step == "remove_soft_hyphen":
-        return say(lost, "Removed %d soft hyphens")
-    if step == "normalize_spaces":
-        return say(_n(before, f"[{M.UNUSUAL_SPACES}]"), "Normalized %d unusual space characters to U+0020")
-    if step == "fix_homoglyphs":
-        words = F.regexp_extract_all(before, F.lit(f"([{M.LETTERS}]+)"), F.lit(1))
-        n = F.aggregate(F.filter(words, lambda w: w.rlike("[A-Za-z]")), F.lit(0), lambda a, w: a + F.regexp_count(w, F.lit(f"[{M.confusable_class()}]")))
-        n = F.when(before.rlike(f"[{M.confusable_class()}]"), n).otherwise(0)
-        return say(n, "Mapped %d confusable characters to Latin")
-    if step == "strip_private_use":
-        return say(lost, "Removed %d private-use characters")
+        return F.lit(SAID[step])
     if step == "normalize_whitespace":
-        crlf = _n(before, r"\r\n")
+        head, *texts = SAID[step]
+        crlf = F.when(F.contains(before, F.lit("\r")), times(before, "\r\n")).otherwise(0)
         unix = F.replace(F.replace(before, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-        ends = _n(unix, r"(?md)[ \t]+$")
+        ends = F.when(ends_in_space(unix), _n(unix, r"(?md)[ \t]+$")).otherwise(0)
         doubles = _n(F.regexp_replace(unix, r"(?md)[ \t]+$", ""), f"(?<=[^{M.SPACES}])  (?=[^{M.SPACES}])")
-        parts = F.concat_ws(", ", say(crlf, "%d CRLF→LF"), say(ends, "trailing whitespace on %d lines"), say(doubles, "%d double spaces collapsed"))
-        return F.when(parts != "", F.concat(F.lit("Normalized whitespace: "), parts))
-    return say(_n(before, r"[\x{201C}\x{201D}\x{2018}\x{2019}\x{2013}\x{2014}\x{2026}\x{00A0}]"), "Normalized %d typographic variants")
+        doubles = F.when(F.contains(unix, F.lit("  ")), doubles).otherwise(0)
+        parts = F.concat_ws(", ", *[say(n, text) for n, text in zip((crlf, ends, doubles), texts, strict=True)])
+        return F.when(parts != "", F.concat(F.lit(head), parts))
+    if step in ("normalize_spaces", "normalize_typography"):
+        n = _n(before, f"[{NEEDS[step]}]")
+    elif step == "fix_homoglyphs":
+        words = F.filter(F.regexp_extract_all(before, F.lit(f"([{M.LETTERS}]+)"), F.lit(1)), lambda w: F.octet_length(w) != F.length(w))
+        n = F.aggregate(F.filter(words, lambda w: w.rlike("[A-Za-z]")), F.lit(0), lambda a, w: a + F.regexp_count(w, F.lit(f"[{M.confusable_class()}]")))
+    else:
+        n = F.length(before) - F.length(after)
+    return say(n, SAID[step])
+
+
+__all__ = ["NEEDS", "RUN", "SAID", "STEPS", "action", "chosen", "needed", "odd", "run"]

@@ -19,6 +19,10 @@ LETTERS = r"\p{L}\p{Nl}\p{No}"
 #: What counts as white space: the 29 code points, not the narrower default of either regex engine.
 SPACES = r"\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+#: Code points that are neither a mark nor a lookalike nor unusual white space: ASCII and the letters of Latin scripts. A text
+#: of these alone needs no further look, and what is left without them is short.
+PLAIN = r"\x00-\x7F\x{C0}-\x{260}\x{262}-\x{34E}\x{1E00}-\x{1EFF}"
+
 # Letters of other scripts that look Latin, and what they look like.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ɡ": "g",

@@ -7,43 +7,76 @@ from pyspark.sql import functions as F
 
 from . import marks as M
 
+# Ways in which markup hides what it holds.
+HIDDEN = r"<span[^>]*display\s*:\s*none[^>]*>|font-size\s*:\s*0|color\s*:\s*transparent|<div[^>]*hidden"
+
 
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def mixed_words(text: Column) -> Column:
+def times(text: Column, piece: str) -> Column:
+    """How often a fixed string occurs: by the length that its removal takes, without a regex."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
+
+
+def odd(text: Column) -> Column:
+    """The characters of a text that are not plain, in their order: all marks of single characters are among them.
+
+    A text whose bytes are as many as its characters is ASCII and is not looked at.
+    """
+    return F.when(F.octet_length(text) == F.length(text), F.lit("")).otherwise(F.regexp_replace(text, f"[{M.PLAIN}]+", ""))
+
+
+def mixed_words(text: Column, odd_chars: Column | None = None) -> Column:
     """Words that hold an ASCII letter and a confusable one; the split into words is skipped without a confusable."""
-    words = F.filter(F.regexp_extract_all(text, F.lit(f"([{M.LETTERS}]+)"), F.lit(1)), lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{M.confusable_class()}]"))
-    return F.when(text.rlike(f"[{M.confusable_class()}]"), words).otherwise(F.array().cast("array<string>"))
+    has = (odd(text) if odd_chars is None else odd_chars).rlike(f"[{M.confusable_class()}]")
+    words = F.filter(F.regexp_extract_all(text, F.lit(f"([{M.LETTERS}]+)"), F.lit(1)), lambda w: F.octet_length(w) != F.length(w))
+    words = F.filter(words, lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{M.confusable_class()}]"))
+    return F.when(has, words).otherwise(F.array().cast("array<string>"))
 
 
 def hidden_html(text: Column) -> Column:
-    pattern = r"(?i)(<span[^>]*display\s*:\s*none[^>]*>|font-size\s*:\s*0|color\s*:\s*transparent|<div[^>]*hidden)"
-    return F.when(text.rlike("(?i)</?[a-z]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    """Constructs that hide content; looked for only where a tag opens or closes."""
+    pattern = f"(?i)({HIDDEN})"
+    gate = F.contains(text, F.lit("<")) & text.rlike("(?i)</?[a-z]")
+    return F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
+def ends_in_space(text: Column) -> Column:
+    """Whether some line ends in a space or tab."""
+    inside = F.contains(text, F.lit(" \n")) | F.contains(text, F.lit("\t\n"))
+    return inside | F.endswith(text, F.lit(" ")) | F.endswith(text, F.lit("\t"))
+
 
+def counts(text: Column, o: Column) -> dict[str, Column]:
+    """Named counts of a text whose odd characters are o; a null text counts as null, so it yields no finding.
 
-def counts(text: Column) -> dict[str, Column]:
-    """Named counts, one regex pass each; a null text counts as null, so it yields no finding."""
+    Counts of single characters look at the odd ones alone. What takes a regex over the whole text stands behind a test for
+    a fixed string that any hit must contain.
+    """
+    on = lambda gate, n: F.when(text.isNull(), None).when(gate, n).otherwise(0)
+    crlf = on(F.contains(text, F.lit("\r")), times(text, "\r\n"))
+    selector = count(text, rf"(?<=[\x00-\x7F])[{M.SELECTORS}]")
     return {
-        "zero_width": count(text, f"[{M.ZERO_WIDTH}]"),
-        "bidi": count(text, f"[{M.BIDI}]"),
-        "selectors": count(text, f"[{M.SELECTORS_MORE}]") + count(text, rf"(?<=[\x00-\x7F])[{M.SELECTORS}]"),
-        "tags": count(text, f"[{M.TAGS}]"),
-        "spaces": count(text, f"[{M.UNUSUAL_SPACES}]"),
-        "nbsp": count(text, r"\x{00A0}"),
-        "soft_hyphens": count(text, r"\x{00AD}"),
-        "homoglyphs": F.size(mixed_words(text)),
-        "private_use": count(text, f"[{M.PRIVATE_USE}]"),
-        "trailing": count(text, r"(?md)[ \t]+$"),
-        "doubles": count(text, f"(?<=[^{M.SPACES}])  (?=[^{M.SPACES}])"),
-        "crlf": count(text, r"\r\n"),
-        "lf": count(text, r"\n") - count(text, r"\r\n"),
+        "zero_width": count(o, f"[{M.ZERO_WIDTH}]"),
+        "bidi": count(o, f"[{M.BIDI}]"),
+        "selectors": count(o, f"[{M.SELECTORS_MORE}]") + on(o.rlike(f"[{M.SELECTORS}]"), selector),
+        "tags": count(o, f"[{M.TAGS}]"),
+        "spaces": count(o, f"[{M.UNUSUAL_SPACES}]"),
+        "nbsp": times(o, "\u00a0"),
+        "soft_hyphens": times(o, "\u00ad"),
+        "homoglyphs": on(F.lit(True), F.size(mixed_words(text, o))),
+        "private_use": count(o, f"[{M.PRIVATE_USE}]"),
+        "trailing": on(ends_in_space(text), count(text, r"(?md)[ \t]+$")),
+        "doubles": on(F.contains(text, F.lit("  ")), count(text, f"(?<=[^{M.SPACES}])  (?=[^{M.SPACES}])")),
+        "crlf": crlf,
+        "lf": times(text, "\n") - crlf,
         "tab_mix": F.contains(text, F.lit(" \t")).cast("int"),
-        "quotes": count(text, r"[\x{201C}\x{201D}\x{2018}\x{2019}]"),
-        "dashes": count(text, r"[\x{2013}\x{2014}]"),
-        "ellipses": count(text, r"\x{2026}"),
-        "hidden_html": F.size(hidden_html(text)),
+        "quotes": count(o, r"[\x{201C}\x{201D}\x{2018}\x{2019}]"),
+        "dashes": count(o, r"[\x{2013}\x{2014}]"),
+        "ellipses": times(o, "\u2026"),
+        "hidden_html": on(F.contains(text, F.lit("<")), F.size(hidden_html(text))),
     }
 
 

@@ -256,7 +256,7 @@ _AFTER = _FINDINGS.replace(f"FROM ({MARKED})", f"FROM ({_cleaned(_DEFAULT)})")
     FROM b FULL OUTER JOIN a ON a.doc_id = b.doc_id AND a.id = b.id""",
 )
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.verify_cleaning(marked(spark, sf_dir), "doc_id")
+    return reports.verify_cleaning(marked(spark, sf_dir), ["doc_id"])
 
 
 @query("marked_docs", f"{_FINDINGS} SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM f WHERE p)")

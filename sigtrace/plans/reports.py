@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.findings import RANKS, compare, severity_ranks
-from ..operators.text import clean_text, detect_text
+from ..operators.findings import RANKS, severity_ranks
+from ..operators.text import clean_text, verify_cleaning
 
 
 def by_severity(findings: DataFrame, docs: DataFrame, key: str, by: str) -> DataFrame:
@@ -26,13 +26,6 @@ def top_sources(findings: DataFrame, by: str, k: int) -> DataFrame:
     return counts.withColumn("place", place).where(F.col("place") <= k)
 
 
-def verify_cleaning(docs: DataFrame, key: str, text: str = "text", options: dict[str, bool] | None = None) -> DataFrame:
-    """Detect, clean, detect again, and compare: one row for each key and kind found before or after."""
-    before = detect_text(docs, [key], text, evidence=False)
-    after = detect_text(clean_text(docs, text, options, actions=False), [key], text, evidence=False)
-    return compare(before, after, [key])
-
-
 def canonical_duplicates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Groups of documents that become one text once cleaned: digest, size of the group, smallest key."""
     cleaned = clean_text(docs, text, actions=False).select(key, F.md5(F.col(text).cast("binary")).alias("digest"))
