@@ -36,6 +36,15 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it.
+
+    A chain of steps that each name the text several times would double at each step when the optimizer moves a filter on
+    the result below the projections that make it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_invisible(t: Column) -> Column:
     """Drops tag characters, selectors and zero-width characters; a joiner or selector beside an emoji stays.
 
@@ -54,9 +63,9 @@ def fix_homoglyphs(t: Column) -> Column:
 
 def normalize_whitespace(t: Column) -> Column:
     """One kind of line end, no white space at line ends, one space for two or more between other characters."""
-    t = F.when(F.contains(t, F.lit("\r")), F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))).otherwise(t)
-    t = F.when(ends_in_space(t), F.regexp_replace(t, r"(?md)[ \t]+$", "")).otherwise(t)
-    return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, f"(?<=[^{M.SPACES}]) {{2,}}(?=[^{M.SPACES}])", " ")).otherwise(t)
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("\r")), F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))).otherwise(x))
+    t = let(t, lambda x: F.when(ends_in_space(x), F.regexp_replace(x, r"(?md)[ \t]+$", "")).otherwise(x))
+    return let(t, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, f"(?<=[^{M.SPACES}]) {{2,}}(?=[^{M.SPACES}])", " ")).otherwise(x))
 
 
 def normalize_typography(t: Column) -> Column:
@@ -146,4 +155,30 @@ def action(step: str, before: Column, after: Column) -> Column:
     return say(n, SAID[step])
 
 
-__all__ = ["NEEDS", "RUN", "SAID", "STEPS", "action", "chosen", "needed", "odd", "run"]
+def cleaned(t: Column, steps: list[str]) -> Column:
+    """The text after the steps but nfkc, which has to come before."""
+
+    def on(x: Column, o: Column, left: list[str]) -> Column:
+        return let(run(left[0], x, o), lambda y: on(y, o, left[1:])) if left else x
+
+    steps = [s for s in steps if s != "nfkc"]
+    return let(t, lambda x: let(odd(x), lambda o: on(x, o, steps)))
+
+
+def cleaned_with_actions(t: Column, steps: list[str], said: list[str]) -> Column:
+    """A struct of the text after the steps but nfkc and of what they did, after what was said before."""
+
+    def on(x: Column, o: Column, left: list[str], did: Column) -> Column:
+        if not left:
+            return F.struct(x.alias("text"), did.alias("actions"))
+
+        def after(y: Column) -> Column:
+            gate, what = needed(left[0], o), action(left[0], x, y)
+            more = F.filter(F.array(what if gate is None else F.when(gate, what)), lambda a: a.isNotNull())
+            return on(y, o, left[1:], F.concat(did, more))
+
+        return let(run(left[0], x, o), after)
+
+    steps = [s for s in steps if s != "nfkc"]
+    first = F.array(*[F.lit(s) for s in said]) if said else F.array().cast("array<string>")
+    return let(t, lambda x: let(odd(x), lambda o: on(x, o, steps, first)))

@@ -7,17 +7,23 @@ broken file into the parts before the damage. All rules over parts are Column ex
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tags import RAW
+
 PART = "ordinal int, part_type string, payload binary"
+#: What readers raise on broken files.
+DAMAGED = (zipfile.BadZipFile, zlib.error, struct.error, KeyError, ValueError, IndexError, NotImplementedError, RuntimeError, OverflowError, EOFError)
 
 
 def zip_parts(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -61,8 +67,17 @@ def image_parts(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 # Numbers of the tags that identify people, places, devices and times.
-EXIF = {0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0131: "Software", 0x0132: "ModifyDate", 0x013B: "Artist", 0x8298: "Copyright", 0x9003: "DateTimeOriginal", 0x9004: "CreateDate", 0xA420: "ImageUniqueID", 0xA430: "OwnerName", 0xA431: "SerialNumber", 0xA435: "LensSerialNumber", 0x9286: "UserComment"}
-GPS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 6: "GPSAltitude", 7: "GPSTimeStamp", 29: "GPSDateStamp"}
+EXIF = {
+    0x000B: "ProcessingSoftware", 0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x0131: "Software", 0x0132: "ModifyDate", 0x013B: "Artist", 0x013C: "HostComputer",
+    0x8298: "Copyright", 0x829A: "ExposureTime", 0x829D: "FNumber", 0x8827: "ISO", 0x9003: "DateTimeOriginal", 0x9004: "CreateDate", 0x9010: "OffsetTime", 0x9011: "OffsetTimeOriginal", 0x9012: "OffsetTimeDigitized",
+    0x920A: "FocalLength", 0x927C: "MakerNote", 0x9286: "UserComment", 0x9290: "SubSecTime", 0x9291: "SubSecTimeOriginal", 0x9292: "SubSecTimeDigitized", 0x9C9B: "XPTitle", 0x9C9C: "XPComment", 0x9C9D: "XPAuthor",
+    0x9C9E: "XPKeywords", 0x9C9F: "XPSubject", 0xA420: "ImageUniqueID", 0xA430: "OwnerName", 0xA431: "SerialNumber", 0xA432: "LensInfo", 0xA433: "LensMake", 0xA434: "LensModel", 0xA435: "LensSerialNumber",
+    0xC62F: "CameraSerialNumber", 0xC68B: "OriginalRawFileName", 0xC65D: "RawDataUniqueID",
+}
+GPS = {
+    0: "GPSVersionID", 1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude", 7: "GPSTimeStamp", 12: "GPSSpeedRef", 13: "GPSSpeed",
+    16: "GPSImgDirectionRef", 17: "GPSImgDirection", 23: "GPSDestBearingRef", 24: "GPSDestBearing", 27: "GPSProcessingMethod", 29: "GPSDateStamp", 31: "GPSHPositioningError",
+}
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
@@ -98,6 +113,12 @@ def tiff_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
                 value = " ".join(f"{a / b:g}" if b else "0" for a, b in pairs)
             elif kind in (3, 4):
                 value = " ".join(str(x) for (x,) in struct.iter_unpack(order + ("H" if kind == 3 else "I"), raw[: len(raw) // _SIZES[kind] * _SIZES[kind]]))
+            elif name == "MakerNote":
+                value = f"{len(raw)} bytes"
+            elif name.startswith("XP"):
+                value = raw.decode("utf-16-le", "replace").strip("\0 ")
+            elif name == "UserComment":
+                value = raw[8:].decode("utf-16" if raw[:7] == b"UNICODE" else "latin-1", "replace").strip("\0 ")
             else:
                 value = raw.decode("latin-1").strip("\0 ")
             yield group, name, value
@@ -144,14 +165,18 @@ def iptc_tags(body: bytes) -> Iterator[tuple[str, str, str]]:
             i += 5 + n
 
 
-#: A compressed text inflates to this many bytes at most; what is longer is no tag.
-INFLATED = 16 << 20
+#: Bytes of a compressed text that are read; no limit, but a text beyond the limit of a file is none.
+INFLATED = 200 << 20
+# Fixed value: a generator's label as the TC260 rule writes it.
+AIGC = re.compile(rb'"?AIGC"?\s*[:={][^\x00]{0,400}?(Label|ContentProducer|ProduceID)')
 
 
 def image_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
     """Tags of EXIF and IPTC blocks, PNG texts and XMP packets."""
     if data[:2] in (b"II", b"MM"):
         yield from tiff_tags(data)
+    if label := AIGC.search(data):
+        yield RAW, "AIGC", label[0].decode("utf-8", "replace")
     for kind, body in image_parts(data):
         if kind == "E1" and body[:6] == b"Exif\0\0":
             yield from tiff_tags(body[6:])
@@ -203,9 +228,13 @@ def id3_frames(data: bytes) -> Iterator[bytes]:
 
 
 def id3_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
-    """Frames of an ID3v2 tag: text frames, owners of private and file identifiers, comments, user texts and links."""
+    """Frames of an ID3v2 tag: text frames, owners of private and file identifiers, comments, user texts and links.
+
+    A frame that may occur more than once is named with what tells it apart, after a colon.
+    """
     if data[:3] != b"ID3" or len(data) < 10:
         return
+    codes = {0: ("latin-1", b"\0"), 1: ("utf-16", b"\0\0"), 2: ("utf-16-be", b"\0\0"), 3: ("utf-8", b"\0")}
     for frame in id3_frames(data):
         name, body = frame[:4].decode("latin-1"), frame[10:]
         if name in ("PRIV", "UFID"):
@@ -213,29 +242,159 @@ def id3_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
             yield "ID3", f"{name}:{owner.decode('latin-1')}", rest.decode("latin-1")
         elif name[:1] == "W" and name != "WXXX":
             yield "ID3", name, body.decode("latin-1").strip("\0")
+        elif name == "APIC":
+            yield "ID3", "APIC:", ""
         elif body:
-            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-            yield "ID3", name, body[4 if name == "COMM" else 1 :].decode(code, "replace").replace("\0", "=" if name in ("TXXX", "WXXX") else "").lstrip("﻿=")
+            code, end = codes.get(body[0], codes[0])
+            text = body[4 if name == "COMM" else 1 :]
+            if name in ("TXXX", "WXXX", "COMM"):
+                at = next((i for i in range(0, len(text), len(end)) if text[i : i + len(end)] == end), len(text))
+                about, text = text[:at].decode(code, "replace"), text[at + len(end) :]
+                name = f"{name}:{about}" + (f":{body[1:4].decode('latin-1')}" if name == "COMM" else "")
+                code = "latin-1" if name[:4] == "WXXX" else code
+            yield "ID3", name, text.decode(code, "replace").strip("\0").replace("\0", "/")
+
+
+def boxes(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """Name, start and end of the content of each box of a media container."""
+    end = len(data) if end is None else end
+    while at + 8 <= end:
+        size, name, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        size = end - at if size == 0 else size
+        if size < head:
+            return
+        yield name, at + head, min(end, at + size)
+        at += size
+
+
+def box(data: bytes, *path: bytes, at: int = 0, end: int | None = None) -> tuple[int, int] | None:
+    """Where the content of the first box at a path of names lies."""
+    for name, a, b in boxes(data, at, end):
+        if name == path[0]:
+            return (a, b) if len(path) == 1 else box(data, *path[1:], at=a, end=b)
+    return None
+
+
+def _since_1904(data: bytes, at: int) -> str:
+    """The time of creation in a header box, as text; empty where it says none."""
+    n = int.from_bytes(data[at + 4 : at + 12] if data[at : at + 1] == b"\1" else data[at + 4 : at + 8], "big")
+    if not n or n > 1 << 34:
+        return ""
+    return (datetime(1904, 1, 1) + timedelta(seconds=n)).strftime("%Y-%m-%dT%H:%M:%S.000000Z")
+
+
+def _items(data: bytes, at: int, end: int) -> Iterator[tuple[int | bytes, str, bytes]]:
+    """Number or name, free name and value of each item of a list box."""
+    for name, a, b in boxes(data, at, end):
+        free = {n: data[x + 4 : y].decode("utf-8", "replace") for n, x, y in boxes(data, a, b) if n in (b"mean", b"name")}
+        for n, x, y in boxes(data, a, b):
+            if n == b"data":
+                yield name, ":".join(free[k] for k in (b"mean", b"name") if k in free), data[x : x + 4] + data[x + 8 : y]
+
+
+def _value(raw: bytes) -> str:
+    """The value of an item as text: a type of four bytes, then UTF-8, a whole number or bytes."""
+    kind, body = int.from_bytes(raw[:4], "big") & 0xFFFFFF, raw[4:]
+    if kind in (21, 22, 0) and 0 < len(body) <= 8 and not (kind == 0 and len(body) > 4):
+        return str(int.from_bytes(body, "big", signed=kind == 21))
+    return body.decode("utf-8", "replace").strip("\0")
+
+
+# User data boxes and the names they go by.
+USER_DATA = {b"\xa9xyz": "location", b"\xa9ART": "artist", b"\xa9nam": "title", b"\xa9too": "encoder", b"\xa9swr": "encoder", b"\xa9day": "date", b"\xa9cmt": "comment", b"\xa9mak": "make", b"\xa9mod": "model", b"\xa9cpy": "copyright", b"\xa9aut": "author", b"cprt": "copyright", b"auth": "author", b"loci": "location", b"xid ": "xid"}
+# Subtitle codecs by the name of their samples.
+SUBTITLES = {b"tx3g": "mov_text", b"text": "mov_text", b"c608": "eia_608"}
+# Handlers that say nothing, without blanks.
+PLAIN_HANDLERS = ("videohandler", "soundhandler", "datahandler", "subtitlehandler", "coremediavideo", "coremediaaudio")
 
 
 def mp4_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
-    """User data of a media container: the copyright-sign atoms and location."""
-    inside = (b"moov", b"udta", b"meta", b"ilst", b"trak", b"mdia")
-    # Short names of the atoms and the names they go by elsewhere.
-    known = {b"\xa9xyz": "location", b"\xa9ART": "artist", b"\xa9nam": "title", b"\xa9too": "encoder", b"\xa9day": "creation_time", b"\xa9cmt": "comment", b"\xa9mak": "make", b"\xa9mod": "model"}
-    todo = [(0, len(data))]
-    while todo:
-        at, end = todo.pop()
-        while at + 8 <= end:
-            size, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
-            size = size if size >= 8 else end - at
-            if name in inside:
-                todo.append((at + (12 if name == b"meta" else 8), min(end, at + size)))
-            elif name in known:
-                body = data[at + 8 : at + size]
-                text = body[16:] if body[4:8] == b"data" else body[4:]
-                yield "format", known[name], text.decode("utf-8", "replace").strip("\0")
-            at += size
+    """Tags of a media container, each name once, the file's before its tracks'; then tracks of neither sound nor picture.
+
+    The file's tags are user data, item lists and the list of named keys, whose names may be anything (as phones write
+    place, make, model and software there).
+    """
+    seen: set[str] = set()
+    moov = box(data, b"moov")
+    if not moov:
+        return
+
+    def first(grp: str, name: str, value: str) -> Iterator[tuple[str, str, str]]:
+        name = name.lower()
+        if name == "handler_name" and value.replace(" ", "").lower() in PLAIN_HANDLERS:
+            return
+        if name not in seen and value:
+            seen.add(name)
+            yield grp, name, value
+
+    yield from (x for y in _file_tags(data, *moov) for x in first("format", *y))
+    tracks = [(a, b) for n, a, b in boxes(data, *moov) if n == b"trak"]
+    odd = []
+    for i, (a, b) in enumerate(tracks):
+        media = box(data, b"mdia", at=a, end=b)
+        if not media:
+            continue
+        header, handler = box(data, b"mdhd", at=media[0], end=media[1]), box(data, b"hdlr", at=media[0], end=media[1])
+        if header:
+            yield from first("stream", "creation_time", _since_1904(data, header[0]))
+        kind = data[handler[0] + 8 : handler[0] + 12] if handler else b""
+        if handler:
+            name = data[handler[0] + 24 : handler[1]]
+            name = name[1:] if name[:1] and name[0] == len(name) - 1 else name  # older files give its length
+            yield from first("stream", "handler_name", name.decode("utf-8", "replace").strip("\0"))
+        sample = box(data, b"minf", b"stbl", b"stsd", at=media[0], end=media[1])
+        codec = data[sample[0] + 12 : sample[0] + 16] if sample else b""
+        if kind in (b"meta", b"tmcd", b"data", b"hint", b"sbtl", b"subt", b"text", b"clcp") or codec in (b"tmcd", b"mebx"):
+            odd.append(("streams", str(i), f"{SUBTITLES.get(codec, '?')} stream #{i}"))
+    yield from odd
+
+
+def _file_tags(data: bytes, at: int, end: int) -> Iterator[tuple[str, str]]:
+    for name, a, b in boxes(data, at, end):
+        if name == b"mvhd":
+            yield "creation_time", _since_1904(data, a)
+        elif name == b"udta":
+            for n, x, y in boxes(data, a, b):
+                if n == b"meta":
+                    yield from _list_tags(data, x, y)
+                elif n == b"loci":
+                    place = data[x + 6 : y].partition(b"\0")[2]
+                    if len(place) >= 13:
+                        east, north = (int.from_bytes(place[k : k + 4], "big", signed=True) / 65536 for k in (1, 5))
+                        yield "location", f"{north:+08.4f}{east:+09.4f}/"
+                elif n in USER_DATA:
+                    body = data[x:y]
+                    yield USER_DATA[n], (body[4:] if n[:1] == b"\xa9" else body[6:]).decode("utf-8", "replace").strip("\0")
+        elif name == b"meta":
+            yield from _list_tags(data, a, b)
+
+
+def _list_tags(data: bytes, at: int, end: int) -> Iterator[tuple[str, str]]:
+    """Item list of a meta box, by short names or by the box's own table of keys."""
+    at += 0 if data[at + 4 : at + 8] == b"hdlr" else 4
+    keys, items = box(data, b"keys", at=at, end=end), box(data, b"ilst", at=at, end=end)
+    if not items:
+        return
+    names = [data[x:y].decode("utf-8", "replace") for _, x, y in boxes(data, keys[0] + 8, keys[1])] if keys else []
+    for name, free, raw in _items(data, *items):
+        n = int.from_bytes(name, "big")
+        if names and 1 <= n <= len(names):
+            yield names[n - 1], _value(raw)
+        elif free:
+            yield free.rpartition(":")[2], _value(raw)
+        elif name in USER_DATA:
+            yield USER_DATA[name], _value(raw)
+
+
+def m4a_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
+    """Items of a sound file's list under their own names, the shop's among them."""
+    meta = box(data, b"moov", b"udta", b"meta")
+    items = meta and box(data, b"ilst", at=meta[0] + (0 if data[meta[0] + 4 : meta[0] + 8] == b"hdlr" else 4), end=meta[1])
+    for name, free, raw in _items(data, *items) if items else ():
+        key = f"----:{free}" if free else name.decode("latin-1")
+        yield "MP4", key, "" if key == "covr" else _value(raw)
 
 
 def comment_tags(body: bytes, grp: str) -> Iterator[tuple[str, str, str]]:
@@ -307,7 +466,7 @@ def audio_tags(data: bytes) -> Iterator[tuple[str, str, str]]:
     elif data[:4] == b"RIFF":
         yield from wav_tags(data)
     elif data[4:8] == b"ftyp":
-        yield from mp4_tags(data)
+        yield from m4a_tags(data)
 
 
 def parts(files: DataFrame, reader: Callable[[bytes], Iterator[tuple[str, bytes]]], key: str = "path", content: str = "content") -> DataFrame:
@@ -320,7 +479,7 @@ def parts(files: DataFrame, reader: Callable[[bytes], Iterator[tuple[str, bytes]
                 try:
                     for row in reader(data or b""):
                         rows.append(row)  # noqa: PERF402 what came before the damage stays
-                except (zipfile.BadZipFile, struct.error, ValueError, IndexError, NotImplementedError, RuntimeError):
+                except DAMAGED:
                     pass
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), k.type), pa.array(range(len(rows)), pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=[key, "ordinal", "part_type", "payload"])

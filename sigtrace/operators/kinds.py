@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 # File name endings of each kind.
 ENDINGS = {
-    "image": ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff", "heic", "avif"),
-    "audio": ("mp3", "wav", "flac", "ogg", "m4a", "aac", "opus", "aiff", "aif"),
-    "video": ("mp4", "mov", "mkv", "webm", "avi", "m4v"),
+    "image": ("png", "jpg", "jpeg", "webp", "tiff", "tif", "bmp", "gif", "avif", "heic"),
+    "audio": ("wav", "flac", "mp3", "ogg", "opus", "m4a", "aac", "aiff", "aif"),
+    "video": ("mp4", "mov", "m4v", "mkv", "webm", "avi"),
     "document": ("pdf", "docx", "xlsx", "pptx"),
-    "text": ("txt", "md", "html", "htm", "csv", "json", "xml"),
 }
+#: An entry of a zip archive's directory whose name lies in one of the folders of an office file.
+OFFICE = r"(?s)PK\x01\x02.{42}(?:word|xl|ppt)/"
 KNOWN_BYTES = 1_000_000
 
 
@@ -31,9 +32,7 @@ def kind(content: str | Column, path: str | Column) -> Column:
     is_text = F.lit(False)
     for cut in range(4):
         is_text = is_text | F.is_valid_utf8(F.substring(head, F.lit(1), F.length(head) - cut).cast("string")) & ((F.length(c) > KNOWN_BYTES) | F.lit(cut == 0))
-    zip_kind = F.lit(False)
-    for folder in ("word/", "xl/", "ppt/"):
-        zip_kind = zip_kind | F.contains(c, F.unhex(F.lit(ascii_hex(folder))))
+    is_office = F.decode(c, "ISO-8859-1").rlike(OFFICE)
     out = (
         F.when(c.isNull(), None)
         .when(begins("89504E470D0A1A0A") | begins("FFD8FF"), "image")
@@ -46,7 +45,7 @@ def kind(content: str | Column, path: str | Column) -> Column:
         .when(begins(ascii_hex("FORM")) & riff.isin(ascii_hex("AIFF"), ascii_hex("AIFC")), "audio")
         .when(begins("1A45DFA3"), "video")
         .when(begins(ascii_hex("%PDF")), "document")
-        .when(begins("504B0304") & zip_kind, "document")
+        .when(begins("504B0304") & is_office, "document")
         .when((part(5, 4) == ascii_hex("ftyp")) & brand.isin("avif", "avis", "heic", "heix", "mif1"), "image")
         .when((part(5, 4) == ascii_hex("ftyp")) & (F.startswith(brand, F.lit("m4a")) | (ending == "m4a")), "audio")
         .when(part(5, 4) == ascii_hex("ftyp"), "video")

@@ -13,7 +13,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import containers
+from . import containers, documents
 from .tags import GENERATORS
 
 HOW_MADE = re.compile(rb"c2pa|jumb|DigitalSourceType|AIGC|\b(?:" + GENERATORS.replace("(?i)", "").encode() + rb")\b", re.IGNORECASE)
@@ -177,7 +177,10 @@ XMP_BOX = bytes.fromhex("BE7ACFCB97A942E89C71999491E3AFAC")
 
 
 def mp4(data: bytes) -> tuple[bytes, bool]:
-    """User data, tags and XMP turned into free space, times set to zero: no offset moves."""
+    """User data, tags and XMP turned into free space, times set to zero, handlers' names blanked: no offset moves.
+
+    Tracks of timed metadata stay, as dropping them would move samples; the file is then partial.
+    """
     out, kept, todo = bytearray(data), False, [(0, len(data), b"")]
     while todo:
         at, end, inside = todo.pop()
@@ -197,6 +200,10 @@ def mp4(data: bytes) -> tuple[bytes, bool]:
                 else:
                     out[at + 4 : at + 8] = b"free"
                     out[body] = bytes(body.stop - body.start)
+            elif name == b"hdlr" and inside == b"mdia":
+                kept |= data[at + head + 8 : at + head + 12] in (b"meta", b"tmcd")
+                if at + head + 24 < at + size:
+                    out[at + head + 24 : at + size] = bytes(size - head - 24)
             elif name in (b"mvhd", b"tkhd", b"mdhd") and inside:
                 n = 16 if data[at + head] == 1 else 8
                 out[at + head + 4 : at + head + 4 + n] = bytes(n)
@@ -232,21 +239,31 @@ def cleaned(data: bytes | None) -> tuple[bytes | None, str]:
     return out, "partial" if kept else "cleaned"
 
 
-def clean_media(files: DataFrame, key: str = "path", content: str = "content", also: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns of also, content and status of each file.
+def clean_files(files: DataFrame, strength: str = "standard") -> DataFrame:
+    """files(path, kind, content) with their content cleaned, and status: office files and media in one pass over the bytes.
 
-    A null content stays null and is unsupported; a damaged file stays as it is. Files leave one by one, so a task holds
-    the Arrow batch it reads and one rewritten file.
+    Texts pass as they are. A null content stays null and is unsupported; a damaged file stays as it is. Files leave one by
+    one, so a task holds the Arrow batch it reads and one rewritten file.
     """
-    names = [key, *also]
-    given = ", ".join(f"`{n}` {files.schema[n].dataType.simpleString()}" for n in names)
+
+    def one(kind: str | None, data: bytes | None) -> tuple[bytes | None, str]:
+        if data is None or kind is None or data[:4] == b"%PDF":
+            return data, "unsupported"
+        if kind == "text":
+            return data, "cleaned"
+        if kind != "document":
+            return cleaned(data)
+        try:
+            return documents.cleaned(data, strength), "cleaned"
+        except containers.DAMAGED:
+            return data, "unsupported"
 
     def scan(batches):
         for b in batches:
             for i in range(b.num_rows):
-                c = b.column(content)[i].as_py()
-                body, status = cleaned(c)
-                made = [pa.array([None if c is None else body], pa.binary()), pa.array([status], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, 1) for n in names), *made], names=[*names, content, "status"])
+                body, status = one(b.column("kind")[i].as_py(), b.column("content")[i].as_py())
+                head = [b.column(n).slice(i, 1) for n in ("path", "kind")]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([body], pa.binary()), pa.array([status], pa.string())], names=["path", "kind", "content", "status"])
 
-    return files.select(*names, content).mapInArrow(scan, f"{given}, `{content}` binary, status string")
+    given = f"`path` {files.schema['path'].dataType.simpleString()}, kind string"
+    return files.select("path", "kind", "content").mapInArrow(scan, f"{given}, content binary, status string")

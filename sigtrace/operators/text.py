@@ -148,30 +148,17 @@ def verify_cleaning(df: DataFrame, keys: list[str], text: str = "text", options:
 def clean_text(df: DataFrame, text: str = "text", options: dict[str, bool] | None = None, actions: bool = True, out: str | None = None) -> DataFrame:
     """df with the text column (or ``out``) cleaned and, unless switched off, ``actions``: what was done, in order.
 
-    One projection a step, no shuffle; a step runs only on texts whose odd characters call for it. A null text stays null
-    with no actions.
+    One expression of the row, no shuffle; a step runs only on texts whose odd characters call for it. A null text stays
+    null with no actions.
     """
     names = [c for c in df.columns if not (actions and c == "actions")]
     names += [] if (out or text) in names else [out or text]
-    steps = cleaning.chosen(options)
-    df = df.withColumn("__was", F.col(text)).withColumn("__clean", F.col(text))
-    if "nfkc" in steps:
-        df = df.withColumn("__clean", cleaning.RUN["nfkc"](F.col("__clean")))
-    df = df.withColumn("__odd", X.odd(F.col("__clean")))
-    said = [F.lit(cleaning.SAID["nfkc"])] if "nfkc" in steps else []
-    for i, step in enumerate(s for s in steps if s != "nfkc"):
-        before = F.col("__clean")
-        if actions:
-            gate = cleaning.needed(step, F.col("__odd"))
-            df = df.withColumn("__next", cleaning.run(step, before, F.col("__odd")))
-            what = cleaning.action(step, before, F.col("__next"))
-            df = df.withColumn(f"__said{i}", what if gate is None else F.when(gate, what))
-            df = df.withColumn("__clean", F.col("__next")).drop("__next")
-            said.append(F.col(f"__said{i}"))
-        else:
-            df = df.withColumn("__clean", cleaning.run(step, before, F.col("__odd")))
-    extra = []
-    if actions:
-        every = F.filter(F.array(*said), lambda a: a.isNotNull()) if said else F.array().cast("array<string>")
-        extra = [F.when(F.col("__was").isNull(), F.array().cast("array<string>")).otherwise(every).alias("actions")]
-    return df.select(*[F.col("__clean").alias(c) if c == (out or text) else F.col(c) for c in names], *extra)
+    steps, was = cleaning.chosen(options), F.col(text)
+    early = "nfkc" in steps
+    first = cleaning.RUN["nfkc"](was) if early else was
+    if not actions:
+        new = cleaning.cleaned(first, steps)
+        return df.withColumn("__new", new).select(*[F.col("__new").alias(c) if c == (out or text) else F.col(c) for c in names])
+    df = df.withColumn("__did", cleaning.cleaned_with_actions(first, steps, [cleaning.SAID["nfkc"]] if early else []))
+    did = F.when(was.isNull(), F.array().cast("array<string>")).otherwise(F.col("__did.actions"))
+    return df.select(*[F.col("__did.text").alias(c) if c == (out or text) else F.col(c) for c in names], did.alias("actions"))

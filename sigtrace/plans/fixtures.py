@@ -76,8 +76,22 @@ def exif() -> bytes:
 
 
 def pdf() -> bytes:
-    stream = zlib.compress(b"BT 3 Tr /F1 0.2 Tf (hidden) Tj ET")
-    return b"%PDF-1.4\n1 0 obj<</Type/Catalog/OpenAction<</S/JavaScript/JS(app.alert)>>>>endobj\n2 0 obj<</Author(Kim Doe)/Producer(Tool)/CreationDate(D:2024)>>endobj\n3 0 obj<</A<</S/URI/URI(http://x.example/?utm_source=1)>>>>endobj\n4 0 obj<</Length 1>>stream\n" + stream + b"endstream endobj\ntrailer<</Info 2 0 R/ID[<01><02>]>>"
+    """One page with hidden text, a tracked link, a script, an attachment, a metadata packet, docinfo and a trailer ID."""
+    shown = zlib.compress(b"BT 3 Tr /F1 0.2 Tf (hidden) Tj ET")
+    packet = b'<x:xmpmeta><rdf:RDF><rdf:Description xmpMM:DocumentID="uuid:7"><dc:creator><rdf:li>Kim Doe</rdf:li></dc:creator></rdf:Description></rdf:RDF></x:xmpmeta>'
+    stream = lambda more, b: b"<<" + more + b"/Length %d>>stream\n" % len(b) + b + b"\nendstream"
+    objects = [
+        b"<</Type/Catalog/Pages 2 0 R/Metadata 6 0 R/OpenAction<</S/JavaScript/JS(app.alert)>>/Names<</EmbeddedFiles<</Names[(list.csv) 7 0 R]>>>>/PieceInfo<</Tool<<>>>>>>",
+        b"<</Type/Pages/Kids[3 0 R]/Count 1>>",
+        b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Metadata 6 0 R/Annots[5 0 R]>>",
+        stream(b"/Filter/FlateDecode", shown),
+        b"<</Type/Annot/A<</S/URI/URI(http://x.example/?utm_source=1)>>>>",
+        stream(b"/Type/Metadata/Subtype/XML", packet),
+        b"<</Type/Filespec/F(list.csv)>>",
+        b"<</Author(Kim \\(K\\) Doe)/Producer<FEFF0054006F006F006C>/CreationDate(D:2024)>>",
+    ]
+    body = b"".join(b"%d 0 obj%sendobj\n" % (i + 1, o) for i, o in enumerate(objects))
+    return b"%PDF-1.4\n" + body + b"trailer<</Root 1 0 R/Info 8 0 R/ID[<01><02>]>>\nstartxref\n0\n%%EOF"
 
 
 def picture(carrier: bool, size: int = 256) -> bytes:
@@ -138,18 +152,43 @@ def tagged_wav() -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def _box(name: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body) + 8) + name + body
+
+
 def mp4() -> bytes:
-    box = lambda n, b: struct.pack(">I", len(b) + 8) + n + b
-    place = box(b"\xa9xyz", b"\0\x10\0\0+52.5+013.4/")
-    moov = box(b"moov", box(b"mvhd", b"\0\0\0\0" + b"\x11" * 8 + b"\0\0\3\xe8") + box(b"udta", place))
-    return box(b"ftyp", b"isom\0\0\0\0") + moov + box(b"mdat", b"samples")
+    place = _box(b"\xa9xyz", b"\0\x10\0\0+52.5+013.4/")
+    moov = _box(b"moov", _box(b"mvhd", b"\0\0\0\0" + b"\x11" * 8 + b"\0\0\3\xe8") + _box(b"udta", place))
+    return _box(b"ftyp", b"isom\0\0\0\0") + moov + _box(b"mdat", b"samples")
+
+
+def phone_film() -> bytes:
+    """A film as phones write it: named keys, and tracks of which one holds timed metadata."""
+    keys = {"com.apple.quicktime.location.ISO6709": "+52.5+013.4/", "com.apple.quicktime.make": "Maker", "com.apple.quicktime.artist": "Kim Doe", "com.apple.quicktime.content.identifier": "0A1B2C3D-0000-1111-2222-333344445555"}
+    item = lambda i, v: _box(struct.pack(">I", i), _box(b"data", b"\0\0\0\1\0\0\0\0" + v.encode()))
+    table = _box(b"keys", b"\0" * 4 + struct.pack(">I", len(keys)) + b"".join(_box(b"mdta", k.encode()) for k in keys))
+    listed = _box(b"ilst", b"".join(item(i + 1, v) for i, v in enumerate(keys.values())))
+    meta = _box(b"meta", _box(b"hdlr", b"\0" * 8 + b"mdta" + b"\0" * 13) + table + listed)
+    handler = lambda kind, name: _box(b"hdlr", b"\0" * 8 + kind + b"\0" * 12 + name + b"\0")
+    samples = lambda codec: _box(b"minf", _box(b"stbl", _box(b"stsd", b"\0" * 4 + struct.pack(">I", 1) + _box(codec, b"\0" * 8))))
+    track = lambda kind, name, codec: _box(b"trak", _box(b"mdia", handler(kind, name) + samples(codec)))
+    tracks = track(b"vide", b"VideoHandler", b"avc1") + track(b"meta", b"Lens 7", b"mebx")
+    return _box(b"ftyp", b"qt  \0\0\0\0") + _box(b"moov", _box(b"mvhd", b"\0" * 4 + struct.pack(">II", 3_786_912_000, 0)) + meta + tracks) + _box(b"mdat", b"s")
+
+
+def bought_song() -> bytes:
+    item = lambda n, kind, v: _box(n, _box(b"data", struct.pack(">II", kind, 0) + v))
+    free = _box(b"----", _box(b"mean", b"\0" * 4 + b"com.shop") + _box(b"name", b"\0" * 4 + b"UUID") + _box(b"data", struct.pack(">II", 1, 0) + b"u-7"))
+    listed = item(b"apID", 1, b"kim@mail.example") + item(b"cnID", 21, struct.pack(">I", 173)) + item(b"purd", 1, b"2024-01-02") + item(b"\xa9nam", 1, b"Song") + item(b"covr", 13, b"\xff\xd8") + free
+    meta = _box(b"meta", b"\0" * 4 + _box(b"hdlr", b"\0" * 8 + b"mdir" + b"\0" * 13) + _box(b"ilst", listed))
+    return _box(b"ftyp", b"M4A \0\0\0\0") + _box(b"moov", _box(b"udta", meta)) + _box(b"mdat", b"s")
 
 
 def media(spark: SparkSession) -> DataFrame:
     rows = [
         ("m/photo.jpg", jpeg()), ("m/made.jpg", jpeg("<t:DigitalSourceType>trainedAlgorithmicMedia</t:DigitalSourceType>")), ("m/place.png", png({"eXIf": exif(), "tIME": b"\0" * 7, "iTXt": b"XML:com.adobe.xmp\0\0\0\0\0" + xmp()})),
         ("m/packed.png", png({"zTXt": b"Author\0\0" + zlib.compress(b"Kim Doe")})), ("m/remote.png", png({"iTXt": b"XML:com.adobe.xmp\0\0\0\0\0" + xmp("<t:provenance>https://x.example/c2pa/1</t:provenance>")})),
-        ("m/song.mp3", id3() + b"\xff\xfbframes" + b"TAG" + b"\0" * 125), ("m/song.flac", flac()), ("m/song.ogg", ogg()), ("m/song.wav", tagged_wav()), ("m/film.mp4", mp4()), ("m/cut.png", png({"eXIf": exif()})[:60]), ("m/none.jpg", None),
+        ("m/song.mp3", id3() + b"\xff\xfbframes" + b"TAG" + b"\0" * 125), ("m/song.flac", flac()), ("m/song.ogg", ogg()), ("m/song.wav", tagged_wav()), ("m/film.mp4", mp4()), ("m/phone.mov", phone_film()), ("m/bought.m4a", bought_song()), ("m/cut.png", png({"eXIf": exif()})[:60]), ("m/none.jpg", None),
     ]
     return spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
 

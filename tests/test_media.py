@@ -25,25 +25,33 @@ def cleaned(spark):
 
 
 def test_tags_of_every_container(before):
-    assert before["m/photo.jpg"].keys() >= {"exif-gps", "device-serial", "owner-identity", "unique-ids", "other-metadata"}
+    assert before["m/photo.jpg"].keys() >= {"exif-gps", "device-serial", "owner-identity", "unique-ids"}
     assert "creator=Kim Doe; Lee" in before["m/photo.jpg"]["owner-identity"] and "By-line=Kim Doe" in before["m/photo.jpg"]["owner-identity"]
     assert "ai-generator-label" in before["m/made.jpg"] and "c2pa-remote-manifest" in before["m/remote.png"]
     assert before["m/packed.png"]["owner-identity"] == "Author=Kim Doe"
     for path in ("m/song.mp3", "m/song.flac", "m/song.ogg", "m/song.wav"):
         assert "Kim" in before[path]["owner-identity"]
     assert "location-gps" in before["m/film.mp4"]
+    phone = before["m/phone.mov"]
+    assert phone.keys() == {"location-gps", "owner-identity", "device-tags", "timestamps", "unique-ids", "unknown-streams"}
+    assert phone["device-tags"] == "com.apple.quicktime.make=Maker; handler_name=Lens 7" and phone["timestamps"].startswith("creation_time=2024-01-01T00:00:00.000000Z; ")  # every quicktime key has "time" in it
+    assert phone["unknown-streams"] == "? stream #1 (mebx/tmcd tracks can carry per-frame metadata)"
+    song = before["m/bought.m4a"]
+    assert song["purchase-identity"] == "apID=kim@mail.example; cnID=173; purd=2024-01-02" and "embedded-picture" in song
+    assert song["other-metadata"] == "----:1, \u00a9nam:1 (6 tags total)"
 
 
 def test_hygiene_leaves_no_personal_finding(spark, cleaned):
     status = {r["path"]: r["status"] for r in cleaned}
-    assert len(cleaned) == 12 and {p for p, s in status.items() if s == "unsupported"} == {"m/song.ogg", "m/cut.png", "m/none.jpg"}
-    assert {p for p, s in status.items() if s == "partial"} == {"m/made.jpg", "m/remote.png"}
+    assert len(cleaned) == 14 and {p for p, s in status.items() if s == "unsupported"} == {"m/song.ogg", "m/cut.png", "m/none.jpg"}
+    assert {p for p, s in status.items() if s == "partial"} == {"m/made.jpg", "m/remote.png", "m/phone.mov"}
     after = found(spark.createDataFrame([(r["path"], r["content"]) for r in cleaned if r["status"] == "cleaned"], "path string, content binary"))
     assert after == {}
 
 
 def test_labels_and_manifests_stay(spark, cleaned):
     kept = found(spark.createDataFrame([(r["path"], r["content"]) for r in cleaned if r["status"] == "partial"], "path string, content binary"))
+    assert kept["m/phone.mov"].keys() == {"unknown-streams"}
     assert "ai-generator-label" in kept["m/made.jpg"] and "exif-gps" not in kept["m/made.jpg"] and "c2pa-remote-manifest" in kept["m/remote.png"]
     for data in (fixtures.png({"caBX": b"jumbc2pa"}), fixtures.png({"tEXt": b"parameters\0steps 20"})):
         assert media_hygiene.cleaned(data) == (data, "partial")
