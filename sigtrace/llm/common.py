@@ -6,8 +6,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,45 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, remove, shared_dir, written
+
+__all__ = ["among_equals", "bounded_batches", "class_sample", "discard", "fold", "lean", "maybe_in", "one_each", "plain_text", "remove", "row_hash", "shared_dir", "unit_hash", "written"]
+
 #: Upper bound on the text that one Arrow batch carries to a Python worker, whatever the row count.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master without it gets a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = where.get() if where.isDefined() else None
-    if not where:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="sigtrace-")
-        spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once as Parquet to the shared folder and returns the table read back; this cuts the lineage durably."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._written_to = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing will read again."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small enough for a Python worker even if every text is very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
