@@ -207,12 +207,76 @@ def pictures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, h, w, c, bytearray(d)) for a, h, w, c, d in rows], "origin string, height int, width int, nChannels int, data binary")
 
 
+_FOUND = ("path", "kind", "id", "severity")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kind_dispatch": lambda s, d: kinds.with_kind(files(s)).select("path", "kind"),
-    "file_findings": lambda s, d: api.analyze(files(s)),
+    "file_findings": lambda s, d: api.analyze(files(s)).select(*_FOUND),
     "file_cleaning": lambda s, d: api.clean(files(s)).select("path", "kind", "status"),
-    "media_findings": lambda s, d: api.analyze(media(s)),
-    "media_hygiene": lambda s, d: api.clean(media(s)).selectExpr("path", "kind", "status", "length(content) as bytes"),
+    "media_findings": lambda s, d: api.analyze(media(s)).select(*_FOUND),
+    "media_hygiene": lambda s, d: api.clean(media(s)).select("path", "kind", "status"),
     "png_chunks": lambda s, d: containers.parts(files(s), containers.png_chunks).select("path", "ordinal", "part_type"),
-    "picture_findings": lambda s, d: signals.picture_findings(pictures(s)),
+    "picture_findings": lambda s, d: signals.picture_findings(pictures(s)).select("origin", "id", "severity"),
+}
+
+#: Severity of each finding that the synthetic files have.
+_SEVERITY = {
+    "high": "exif-gps device-serial owner-identity purchase-identity location-gps c2pa-manifest remote-content pdf-javascript zero-width homoglyphs printer-dots",
+    "medium": "unique-ids custom-properties tracked-changes ai-generator-label c2pa-remote-manifest device-tags ultrasonic-tone periodic-carrier pdf-xmp pdf-embedded-files pdf-remote-links pdf-hidden-text",
+    "low": "software-tags timestamps embedded-picture unknown-streams whitespace-pattern pdf-trailer-id pdf-pieceinfo pdf-page-metadata",
+    "info": "c2pa-soft-binding other-metadata",
+}
+#: What was put into each synthetic file, by hand: its kind, what cleaning makes of it, and what is to be found in it.
+_HELD = {
+    "a/plan.docx": ("document", "cleaned", "owner-identity timestamps software-tags custom-properties tracked-changes unique-ids remote-content"),
+    "a/plain.png": ("image", "cleaned", ""),
+    "a/signed.png": ("image", "partial", "c2pa-manifest c2pa-soft-binding"),
+    "a/place.png": ("image", "cleaned", "exif-gps device-serial owner-identity"),
+    "a/made.png": ("image", "partial", "ai-generator-label other-metadata"),
+    "a/tone.wav": ("audio", "cleaned", "ultrasonic-tone"),
+    "a/noise.wav": ("audio", "cleaned", ""),
+    "a/song.mp3": ("audio", "cleaned", "purchase-identity owner-identity software-tags"),
+    "a/note.pdf": ("document", "unsupported", "owner-identity software-tags timestamps pdf-xmp pdf-trailer-id pdf-embedded-files pdf-javascript pdf-remote-links pdf-hidden-text pdf-pieceinfo pdf-page-metadata"),
+    "a/hello.txt": ("text", "cleaned", "zero-width homoglyphs whitespace-pattern"),
+    "a/bm.txt": ("text", "cleaned", ""),
+    "a/movie.mp4": ("video", "cleaned", ""),
+    "a/still.avif": ("image", "unsupported", ""),
+    "a/odd.bin": (None, "unsupported", ""),
+    "m/photo.jpg": ("image", "cleaned", "exif-gps device-serial owner-identity unique-ids"),
+    "m/made.jpg": ("image", "partial", "exif-gps device-serial owner-identity unique-ids ai-generator-label other-metadata"),
+    "m/place.png": ("image", "cleaned", "exif-gps device-serial owner-identity unique-ids"),
+    "m/packed.png": ("image", "cleaned", "owner-identity"),
+    "m/remote.png": ("image", "partial", "owner-identity unique-ids other-metadata c2pa-remote-manifest"),
+    "m/song.mp3": ("audio", "cleaned", "purchase-identity owner-identity software-tags"),
+    "m/song.flac": ("audio", "cleaned", "owner-identity software-tags"),
+    "m/song.ogg": ("audio", "unsupported", "owner-identity"),
+    "m/song.wav": ("audio", "cleaned", "owner-identity"),
+    "m/film.mp4": ("video", "cleaned", "location-gps timestamps"),
+    "m/phone.mov": ("video", "partial", "location-gps owner-identity device-tags timestamps unique-ids unknown-streams"),
+    "m/bought.m4a": ("audio", "cleaned", "purchase-identity embedded-picture unique-ids other-metadata"),
+    "m/cut.png": ("image", "unsupported", ""),
+    "m/none.jpg": (None, "unsupported", ""),
 }
+#: Chunks of the synthetic pictures between the first and the last two.
+_CHUNKS = {"a/plain.png": [], "a/signed.png": ["caBX"], "a/place.png": ["eXIf"], "a/made.png": ["tEXt"]}
+_SEEN = (("carrier", "periodic-carrier"), ("dots", "periodic-carrier"), ("dots", "printer-dots"))
+
+
+def expected(name: str) -> str | None:
+    """The rows that a query over synthetic files must give, stated by hand, as SQL."""
+    rank = {id: severity for severity, ids in _SEVERITY.items() for id in ids.split()}
+    folder = "m/" if name.startswith("media") else "a/"
+    held = {p: v for p, v in _HELD.items() if p.startswith(folder)}
+    if name == "kind_dispatch":
+        rows = [{"path": p, "kind": kind} for p, (kind, _, _) in held.items()]
+    elif name in ("file_findings", "media_findings"):
+        rows = [{"path": p, "kind": kind, "id": i, "severity": rank[i]} for p, (kind, _, ids) in held.items() for i in ids.split()]
+    elif name in ("file_cleaning", "media_hygiene"):
+        rows = [{"path": p, "kind": kind, "status": status} for p, (kind, status, _) in held.items()]
+    elif name == "png_chunks":
+        rows = [{"path": p, "ordinal": i, "part_type": t} for p, more in _CHUNKS.items() for i, t in enumerate(["IHDR", *more, "IDAT", "IEND"])]
+    else:
+        rows = [{"origin": o, "id": i, "severity": rank[i]} for o, i in _SEEN]
+    value = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"CAST({x} AS INTEGER)" if isinstance(x, int) else f"'{x}'"
+    lines = ", ".join("(" + ", ".join(map(value, r.values())) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {lines}) AS t({', '.join(rows[0])})"

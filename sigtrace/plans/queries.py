@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import marks as M
 from ..functions import text_marks as X
+from ..functions.cleaning import SAID
 from ..operators import links
-from ..operators.text import clean_text, detect_text, mark_counts
+from ..operators.text import SAYS, clean_text, detect_text, mark_counts
 from . import fixtures, reports
 from .marked import MARKED, marked
 
@@ -125,9 +126,54 @@ def findings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_text(marked(spark, sf_dir), ["doc_id"], evidence=False).select("doc_id", "ordinal", "id", "severity", "confidence")
 
 
-@query("findings_evidence")
+def _position(i: str) -> str:
+    before = f"substring(text, 1, CAST({i} AS BIGINT))"
+    return f"concat(length({before}) - length(replace({before}, chr(10), '')) + 1, ':', length(string_split({before}, chr(10))[-1]) + 1)"
+
+
+def _examples(points: str) -> str:
+    names = "MAP {" + ", ".join(f"'{c}': '{n}'" for c, n in M.names(points).items()) + "}"
+    found = f"list_filter(list_transform(string_split(text, ''), lambda c, i: {{'c': c, 'i': i - 1}}), lambda x: regexp_matches(x.c, '[{points}]'))"
+    return f"array_to_string(list_transform(({found})[1:5], lambda x: concat({_position('x.i')}, ' ', printf('U+%04X', unicode(x.c)), ' ', ({names})[x.c])), '; ')"
+
+
+def _kinds(points: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[{points}]'), lambda c: printf('U+%04X', unicode(c))))), ', ')"
+
+
+def _evidence() -> str:
+    """The evidence of every finding, by another way than the plan's: words are found by their place in a list of parts."""
+    parts = f"regexp_extract_all(text, '[{M.LETTERS}]+|[^{M.LETTERS}]+')"
+    mixed = f"regexp_matches(x.w, '^[{M.LETTERS}]') AND regexp_matches(x.w, '[A-Za-z]') AND regexp_matches(x.w, '[{_CONF}]')"
+    placed = f"list_transform({parts}, lambda w, i: {{'w': w, 'at': length(array_to_string(({parts})[1:i - 1], ''))}})"
+    words = f"array_to_string(list_transform(list_filter({placed}, lambda x: {mixed})[1:5], lambda x: concat({_position('x.at')}, ' \"', x.w, '\" (', len(regexp_extract_all(x.w, '[{_CONF}]')), ' confusable)')), '; ')"
+    payload = rf"array_to_string(list_transform(regexp_extract_all(text, '[\x{{E0001}}-\x{{E007F}}]'), lambda c: chr(unicode(c) - 917504)), '')"
+    some = lambda n, *what: f"CASE WHEN n_{n} > 0 THEN concat({', '.join(what)}) END"
+    says = {k: [f"'{x}'" for x in v] for k, v in SAYS.items()}
+    white, typo, tag, space = (says[k] for k in ("whitespace-pattern", "typographic-variants", "tag-characters", "unusual-spaces"))
+    ends = f"CASE WHEN n_crlf > 0 AND n_lf > 0 THEN concat({white[2]}, n_crlf, {white[3]}, n_lf, {white[4]}) END"
+    each = {
+        "zero-width": f"concat(n_zero_width, {says['zero-width'][0]}, {_kinds(M.ZERO_WIDTH)}, {says['zero-width'][1]}, {_examples(M.ZERO_WIDTH)})",
+        "bidi-controls": f"concat(n_bidi, {says['bidi-controls'][0]}, {_examples(M.BIDI)})",
+        "variation-selectors": f"concat(n_selectors, {says['variation-selectors'][0]})",
+        "tag-characters": f"concat(n_tags, {tag[0]}, CASE WHEN trim({payload}) <> '' THEN concat({tag[1]}, substring({payload}, 1, 120), {tag[2]}) ELSE '' END)",
+        "unusual-spaces": f"concat(n_spaces, {space[0]}, {_kinds(M.UNUSUAL_SPACES)}, {space[1]})",
+        "soft-hyphen": f"concat(n_soft_hyphens, {says['soft-hyphen'][0]})",
+        "homoglyphs": f"concat(n_homoglyphs, {says['homoglyphs'][0]}, {words})",
+        "private-use": f"concat(n_private_use, {says['private-use'][0]})",
+        "whitespace-pattern": f"concat(concat_ws('; ', {some('trailing', 'n_trailing', white[0])}, {some('doubles', 'n_doubles', white[1])}, {ends}, {some('tab_mix', white[5])}), {white[6]})",
+        "typographic-variants": f"concat(concat_ws(', ', {', '.join(some(c, f'n_{c}', w) for c, w in zip(('quotes', 'dashes', 'ellipses', 'nbsp'), typo, strict=False))}), {typo[4]})",
+        "invisible-html": "''",
+    }
+    case = " ".join(f"WHEN '{k}' THEN {v}" for k, v in each.items())
+    counted = _COUNTED.replace("SELECT doc_id, lang, source,", "SELECT doc_id, lang, source, text,", 1)
+    found = _FINDINGS.replace(_COUNTED, counted).replace("SELECT doc_id, lang, source, unnest", "SELECT c.*, unnest", 1)
+    return f"{found} SELECT doc_id, ordinal, id, severity, confidence, CASE id {case} END AS evidence FROM f WHERE p"
+
+
+@query("findings_evidence", _evidence())
 def findings_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_text(marked(spark, sf_dir), ["doc_id"])
+    return detect_text(marked(spark, sf_dir), ["doc_id"]).select("doc_id", "ordinal", "id", "severity", "confidence", "evidence")
 
 
 @query(
@@ -234,13 +280,49 @@ for _name, _steps in {
     _register_cleaner(_name, _steps)
 
 
-@query("clean_nfkc")
+#: What compatibility composition changes among the characters of the tables and the marks.
+_COMPAT = {"\u00a0": " ", "\u2026": "...", "\u00aa": "a", "\u00ba": "o", "\u00b2": "2", "\u00b3": "3", "\u00b9": "1"}
+
+
+def _compat(t: str) -> str:
+    for old, new in _COMPAT.items():
+        t = f"replace({t}, '{old}', '{new}')"
+    return t
+
+
+@query("clean_nfkc", f"SELECT doc_id, md5(text) AS digest FROM ({_cleaned(_DEFAULT).replace(MARKED, f'SELECT doc_id, lang, source, {_compat("text")} AS text FROM ({MARKED})')})")
 def clean_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean_text(marked(spark, sf_dir), options={"nfkc": True}, actions=False)
     return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("clean_actions")
+def _acted(step: str, b: str, a: str) -> str:
+    """The sentence of a step that made the text a of the text b, or null."""
+    say = lambda n, text: f"CASE WHEN {n} > 0 THEN printf('{text}', {n}) END"
+    if step == "normalize_whitespace":
+        head, crlf, ends, doubles = SAID[step]
+        unix = f"replace(replace({b}, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10))"
+        bare = rf"regexp_replace({unix}, '(?m)[ \t]+$', '', 'g')"
+        said = [say(rf"len(regexp_extract_all({b}, '\r\n'))", crlf), say(rf"len(regexp_extract_all({unix}, '(?m)[ \t]+$'))", ends), say(_DOUBLES.replace("text", bare), doubles)]
+        parts = f"concat_ws(', ', {', '.join(said)})"
+        return f"CASE WHEN {parts} <> '' THEN concat('{head}', {parts}) END"
+    if step == "normalize_spaces":
+        return say(f"len(regexp_extract_all({b}, '[{M.UNUSUAL_SPACES}]'))", SAID[step])
+    if step == "fix_homoglyphs":
+        words = f"list_filter(regexp_extract_all({b}, '[{M.LETTERS}]+'), lambda w: regexp_matches(w, '[A-Za-z]'))"
+        return say(f"CAST(coalesce(list_sum(list_transform({words}, lambda w: len(regexp_extract_all(w, '[{_CONF}]')))), 0) AS BIGINT)", SAID[step])
+    return say(f"(length({b}) - length({a}))", SAID[step])
+
+
+def _actions() -> str:
+    rows = f"SELECT doc_id, text AS t0 FROM ({MARKED})"
+    for i, step in enumerate(_DEFAULT):
+        rows = f"SELECT *, {_STEPS[step](f't{i}')} AS t{i + 1} FROM ({rows})"
+    said = ", ".join(_acted(step, f"t{i}", f"t{i + 1}") for i, step in enumerate(_DEFAULT))
+    return f"SELECT doc_id, action FROM (SELECT doc_id, unnest([{said}]) AS action FROM ({rows})) WHERE action IS NOT NULL"
+
+
+@query("clean_actions", _actions())
 def clean_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_text(marked(spark, sf_dir)).select("doc_id", F.explode("actions").alias("action"))
 
@@ -310,8 +392,55 @@ def events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query(
+    "events_sliding",
+    """SELECT time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '2024-01-01') - k * INTERVAL 30 MINUTE AS start, event_type, count(*) AS n
+    FROM events, (VALUES (0), (1)) AS w(k) GROUP BY 1, 2""",
+)
+def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.windows import windowed
+
+    return windowed(table(spark, sf_dir, "events"), "1 hour", slide="30 minutes").select("start", "event_type", "n")
+
+
+@query(
+    "events_sessions",
+    """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM (
+        SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+            SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events))
+    GROUP BY user_id, s""",
+)
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.windows import sessions
+
+    return sessions(table(spark, sf_dir, "events"), "30 minutes")
+
+
+@query("events_props", "SELECT event_type, CAST(props->>'$.k' AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
+    return rows.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("docs_by_marks", f"""{_FINDINGS}, m AS (SELECT DISTINCT doc_id FROM f WHERE p)
+    SELECT doc_id, 'marked and labelled' AS part FROM (SELECT doc_id FROM m INTERSECT SELECT doc_id FROM labels)
+    UNION ALL SELECT doc_id, 'marked only' FROM (SELECT doc_id FROM m EXCEPT SELECT doc_id FROM labels)""")
+def docs_by_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect_text(marked(spark, sf_dir), ["doc_id"], evidence=False).select("doc_id").distinct()
+    known = table(spark, sf_dir, "labels").select("doc_id")
+    both, alone = found.intersect(known), found.subtract(known)
+    return both.withColumn("part", F.lit("marked and labelled")).unionByName(alone.withColumn("part", F.lit("marked only")))
+
+
+@query("worst_documents", f"""{_FINDINGS} SELECT doc_id, n, rank FROM (SELECT doc_id, count(*) AS n, CAST(sum(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS BIGINT) AS rank
+    FROM f WHERE p GROUP BY doc_id) ORDER BY rank DESC, n DESC, doc_id LIMIT 20""")
+def worst_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = marked(spark, sf_dir)
+    return reports.worst(detect_text(docs, ["doc_id"], evidence=False), "doc_id", 20)
+
+
 for _name, _fixture in fixtures.QUERIES.items():
-    query(_name)(_fixture)
+    query(_name, fixtures.expected(_name))(_fixture)
 
 
 def queries() -> dict[str, Query]:

@@ -26,10 +26,17 @@ def top_sources(findings: DataFrame, by: str, k: int) -> DataFrame:
     return counts.withColumn("place", place).where(F.col("place") <= k)
 
 
+def worst(findings: DataFrame, key: str, k: int) -> DataFrame:
+    """The k records whose findings weigh most, by the sum of their severities' ranks; a top-k report."""
+    ranks = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
+    counts = findings.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at(ranks, F.col("severity")).cast("long")).alias("rank"))
+    return counts.orderBy(F.col("rank").desc(), F.col("n").desc(), key).limit(k)
+
+
 def canonical_duplicates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Groups of documents that become one text once cleaned: digest, size of the group, smallest key."""
     cleaned = clean_text(docs, text, actions=False).select(key, F.md5(F.col(text).cast("binary")).alias("digest"))
     return cleaned.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).where("n > 1")
 
 
-__all__ = ["RANKS", "by_severity", "canonical_duplicates", "cube", "top_sources", "verify_cleaning"]
+__all__ = ["RANKS", "by_severity", "canonical_duplicates", "cube", "top_sources", "verify_cleaning", "worst"]

@@ -38,7 +38,7 @@ def test_tags_of_every_container(before):
     assert phone["unknown-streams"] == "? stream #1 (mebx/tmcd tracks can carry per-frame metadata)"
     song = before["m/bought.m4a"]
     assert song["purchase-identity"] == "apID=kim@mail.example; cnID=173; purd=2024-01-02" and "embedded-picture" in song
-    assert song["other-metadata"] == "----:1, \u00a9nam:1 (6 tags total)"
+    assert song["unique-ids"] == "----:com.shop:UUID=u-7" and song["other-metadata"] == "\u00a9nam:1 (6 tags total)"
 
 
 def test_hygiene_leaves_no_personal_finding(spark, cleaned):
