@@ -6,6 +6,8 @@ import importlib.util
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -38,6 +40,22 @@ def drops_white_space(vocabulary: dict) -> bool:
     return steps == _LOWERS and (first.get("pattern") or {}).get("Regex") == _SPLITS and first.get("behavior") == "Removed" and first.get("invert") is True
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian numbers of four bytes."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
+
+
+class _Pieces(dict):
+    """Ids by piece; a missing piece is found by a function."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: bytes) -> bytes:
+        return self.find(piece)
+
+
 class Encoder:
     """ids(text) equals the tokenizer's own ids, without special tokens added.
 
@@ -56,11 +74,19 @@ class Encoder:
             self.by_pieces = drops_white_space(json.load(f))
         if plain_specials:
             self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.older = _Pieces(self.found), {}
 
     def encoded(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return _as_bytes(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def found(self, piece: bytes) -> bytes:
+        """The ids of a piece that the younger generation lacks; it is remembered unless it is long."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encoded(piece)
+        if len(piece) <= CACHED_BYTES:
+            self.known[piece] = ids
+        return ids
 
     def ids(self, text: bytes | None) -> np.ndarray:
         text = text or b""
@@ -68,19 +94,9 @@ class Encoder:
             return np.frombuffer(self.encoded(text), "<u4")
         if b"<|" not in text:  # special strings are told apart by case
             text = text.lower()
-        pieces = _MARK.sub(b" ", text).split()
-        long: dict[bytes, bytes] = {}
-        for p in set(pieces).difference(self.known):
-            found = self.older.get(p)
-            if found is None:
-                found = self.encoded(p)
-            (self.known if len(p) <= CACHED_BYTES else long)[p] = found
-        if long:
-            joined = b"".join([long[p] if p in long else self.known[p] for p in pieces])
-        else:
-            joined = b"".join(map(self.known.__getitem__, pieces))
+        joined = b"".join(map(self.known.__getitem__, _MARK.sub(b" ", text).split()))
         if len(self.known) > CACHED_PIECES:
-            self.known, self.older = {}, self.known
+            self.known, self.older = _Pieces(self.found), self.known
         return np.frombuffer(joined, "<u4")
 
 
