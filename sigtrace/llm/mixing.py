@@ -221,8 +221,10 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 17, source: str = "sour
     docs = docs.drop("size", "source_size", "target", "copies", "draws", "__order")
     names = docs.columns
     measured = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*key, source])], word_count(text_col).alias("size"), row_hash(*key, source, text_col, seed=seed).alias("__same"))
-    told = among_equals(written(measured, "measured"), "__same")
+    measured = written(measured, "measured")
+    told = among_equals(measured, "__same")
     sized = written(told.withColumn("__order", key62("__same", "__nth", seed=seed)).drop("__same", "__nth"), "sizes")
+    discard(measured)
     plans = plan(sized, shards, seed, source)
     if narrow:
         return _drawn(sized, plans, source)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, near_vectors, packing, quality, sharding, simhash, token_counts, topk, toxicity
-from .common import fold, shared_dir
+from .common import fold, remove, shared_dir
 from .tokens import vocabulary
 
 SHARDS = 16
@@ -35,11 +35,17 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws.shard").alias("out_shards"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 its rule alone fixes, so that SQL can ask it: each document's size, its source's size and target."""
+    return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SHARDS, narrow=True).select("doc_id", "size", "source_size", "target")
+
+
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, file_id, ordinal, start: documents written as flat token files, counted by the scan alone, then named."""
     where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     names = token_counts.write_flat(_table(spark, sf_dir, "documents"), where)
     counts = token_counts.count_tokens(token_counts.flat_files(spark, where, names))
+    remove(spark, where)  # what the scan found is a table by now
     return names.select("file_id", "ordinal", "doc_id").join(counts, ["file_id", "ordinal"], "left").select("doc_id", "n_tokens", "file_id", "ordinal", "start")
 
 
@@ -88,13 +94,31 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_histogram_sort, op2_source_mix, op3_separator_scan, op4_toxicity_fm, op5_exact_topk, op6_vector_near_dedup, op7_sum_of_squares_packing, op8_language_id, op9_simhash_near_dedup, op10_quality_pu)
+    made = (op1_histogram_sort, op2_source_mix, op3_separator_scan, op4_toxicity_fm, op5_exact_topk, op6_vector_near_dedup, op7_sum_of_squares_packing, op8_language_id, op9_simhash_near_dedup, op10_quality_pu, mix_targets)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others rest on hashes that DuckDB lacks, on learned models, or on choices that only a contract bounds."""
     return {
+        "mix_targets": r"""
+            WITH RECURSIVE sized AS (
+                SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+            ), s AS (
+                SELECT source, sum(size) AS size, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w FROM sized GROUP BY source
+            ), rounds(n, source, size, w, fixed) AS (
+                SELECT CAST(0 AS BIGINT), source, size, w, false FROM s
+                UNION ALL
+                SELECT n + 1, source, size, w, fixed OR share > 3 * size FROM (
+                    SELECT *, (sum(size) OVER () - sum(CASE WHEN fixed THEN 3 * size ELSE 0 END) OVER ()) * w / sum(CASE WHEN fixed THEN 0 ELSE w END) OVER () AS share FROM rounds
+                ) WHERE n < (SELECT count(*) FROM s)
+            ), last AS (
+                SELECT source, size, CASE WHEN fixed THEN 3.0 * size
+                    ELSE (sum(size) OVER () - sum(CASE WHEN fixed THEN 3 * size ELSE 0 END) OVER ()) * w / sum(CASE WHEN fixed THEN 0 ELSE w END) OVER () END AS target
+                FROM rounds WHERE n = (SELECT max(n) FROM rounds)
+            )
+            SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(l.size AS BIGINT) AS source_size, CAST(l.target AS DOUBLE) AS target
+            FROM sized d JOIN last l ON d.source IS NOT DISTINCT FROM l.source""",
         "op5_exact_topk": """
             WITH numbered AS (SELECT *, row_number() OVER () AS r FROM embeddings), good AS (
                 SELECT r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among_equals, written
+from .common import among_equals, discard, written
 
 #: Keys are 62-bit numbers, so that differences and sums of two stay within a long.
 KEY_BITS = 62
@@ -126,8 +126,10 @@ def shard_by_bytes(rows: DataFrame, shards: int, group: str | Column, spread: st
     rows = rows.drop("shard", "slot")
     names = rows.columns
     held = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row_of"), key62(group, seed=1).alias("__k1"), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("__size"), F.xxhash64(F.lit(2), *[F.col(c) if isinstance(c, str) else c for c in (group, spread)]).alias("__both"))
-    told = among_equals(written(held, "digests"), "__both")
+    held = written(held, "digests")
+    told = among_equals(held, "__both")
     keyed = written(told.withColumn("__k2", key62("__both", "__nth", seed=2)).drop("__both", "__nth"), "keys")
+    discard(held)
     seen = keyed.agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("total")).first()
     bounds = splitters(keyed, shards, seen["total"] or 0, tolerance, first="__k1", second="__k2", size="__size") if seen["n"] else []
     placed = with_slots(keyed.withColumn("shard", shard_of(bounds, "__k1", "__k2")), spread="__k2", order=("__k1", "__k2"), n=seen["n"])

@@ -22,6 +22,8 @@ BUCKETS, FACTORS = 1 << 18, 8
 #: LEAST_ERRORS standard errors) or in a pair (PAIR_ERRORS, over the pairs of the PAIR_TERMS terms that divide the rows
 #: most evenly, which are all that a sample of this size can show an interaction of).
 LEAST_ROWS, LEAST_ERRORS, PAIR_ERRORS, PAIR_TERMS = 5, 4.0, 8.0, 3072
+#: Rows that calibration takes at least.
+LEAST_HELD = 100
 #: Rows that a term of a pair must be in, and must be missing from.
 PAIR_ROWS = 20
 
@@ -110,7 +112,9 @@ def interactions(factors: np.ndarray) -> float:
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, rate: float = 0.1, ridge: float = 1e-3, seed: int = 5) -> ToxicityModel:
-    """Logistic loss by AdaGrad over balanced classes; one row in five is kept to calibrate with the classes' true weights."""
+    """Logistic loss by AdaGrad over balanced classes; one row in five is kept to calibrate with the classes' true weights.
+
+    Where no term tells anything the score is the share of toxic rows."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
@@ -154,6 +158,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoch
             bias_sq += g.sum() ** 2
             bias -= rate * g.sum() / np.sqrt(bias_sq)
     model = ToxicityModel(slot, linear, factors, float(bias), 1.0, 0.0)
+    if len(held) < LEAST_HELD:  # a share of so few rows says little; then all rows calibrate
+        held = order
     if len(held):
         z = np.array([model.margin(rows[i]) for i in held])
         model.slope, model.shift = platt(z, labels[held], weights[held])
@@ -200,12 +206,12 @@ def sampled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: int
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, text_col: str = "text", key: str = "doc_id") -> ToxicityModel:
     """Trains on at most about per_class labelled ids of each class; the ids alone are joined to the documents.
 
-    With no labelled row at all every text scores one half; rows with a null key, label or text add nothing. An id that
+    With no labelled row at all nothing is known to be toxic and every text scores about 0; rows with a null key, label or text add nothing. An id that
     repeats counts once for each label it has, with one of its texts, the same in each run.
     """
     rows, y, w = sampled_terms(docs.where(F.col(text_col).isNotNull()), labels, label, per_class, text_col, key)
     if not len(y):
-        return ToxicityModel(np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros((0, FACTORS)), 0.0, 1.0, 0.0)
+        return ToxicityModel(np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros((0, FACTORS)), 0.0, 1.0, -40.0)
     return train(rows, y, w)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sigtrace.llm import langid, mixing, near_vectors, packing, quality, queries, sharding, topk, toxicity
 from sigtrace.llm.common import among_equals
 
@@ -334,3 +335,22 @@ def test_links_at_the_very_threshold(spark):
     for _ in range(len(x)):
         root = np.array([root[n].min() for n in near])
     assert got.component_id.tolist() == root.tolist()
+
+
+def test_every_stage_takes_awkward_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, toxic string, __text string, length long"
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], None, 1, "own", "own", 2) for r in texts]
+    rows += [(None, None, None, None, None, None, None, None, None), (5, "", "en", "a", 0, 0, "", "", 0), (5, " \t", None, None, 0, 0, "", "", 0)]
+    rows += [(7, texts[0]["text"], "en", None, 1, 1, "x", "y", 1)] * 2 + [(None, texts[1]["text"], None, "b", 1, 1, "x", "y", 1), (8, texts[2]["text"] * 40, "en", "b", 1, 1, "x", "y", 1)]
+    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, DATA)
+            kept = out.collect()
+            assert name == "pack" or out.columns == table.columns
+            if name == "pack":
+                assert sum(r["piece"] == 0 for r in kept) == table.count()
+            elif not table.isEmpty():
+                assert 0 < len(kept) <= 3 * len(rows)
+            else:
+                assert not kept
