@@ -145,8 +145,9 @@ def _evidence() -> str:
     """The evidence of every finding, by another way than the plan's: words are found by their place in a list of parts."""
     parts = f"regexp_extract_all(text, '[{M.LETTERS}]+|[^{M.LETTERS}]+')"
     mixed = f"regexp_matches(x.w, '^[{M.LETTERS}]') AND regexp_matches(x.w, '[A-Za-z]') AND regexp_matches(x.w, '[{_CONF}]')"
-    placed = f"list_transform({parts}, lambda w, i: {{'w': w, 'at': length(array_to_string(({parts})[1:i - 1], ''))}})"
-    words = f"array_to_string(list_transform(list_filter({placed}, lambda x: {mixed})[1:5], lambda x: concat({_position('x.at')}, ' \"', x.w, '\" (', len(regexp_extract_all(x.w, '[{_CONF}]')), ' confusable)')), '; ')"
+    placed = f"list_transform({parts}, lambda w, i: {{'w': w, 'i': i}})"
+    at = f"length(array_to_string(({parts})[1:x.i - 1], ''))"
+    words = f"array_to_string(list_transform(list_filter({placed}, lambda x: {mixed})[1:5], lambda x: concat({_position(at)}, ' \"', x.w, '\" (', len(regexp_extract_all(x.w, '[{_CONF}]')), ' confusable)')), '; ')"
     payload = rf"array_to_string(list_transform(regexp_extract_all(text, '[\x{{E0001}}-\x{{E007F}}]'), lambda c: chr(unicode(c) - 917504)), '')"
     some = lambda n, *what: f"CASE WHEN n_{n} > 0 THEN concat({', '.join(what)}) END"
     says = {k: [f"'{x}'" for x in v] for k, v in SAYS.items()}
