@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, remove, shared_dir, written
 
-__all__ = ["among_equals", "bounded_batches", "class_sample", "discard", "fold", "lean", "maybe_in", "one_each", "plain_text", "remove", "row_hash", "shared_dir", "unit_hash", "written"]
+__all__ = ["among_equals", "bounded_batches", "class_sample", "discard", "fold", "lean", "maybe_in", "one_each", "plain_text", "remove", "row_hash", "shared_dir", "trim", "unit_hash", "written"]
 
 #: Upper bound on the text that one Arrow batch carries to a Python worker, whatever the row count.
 BATCH_BYTES = 4 << 20
@@ -28,6 +28,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Gives this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lean(scan):
     """The scan, after which a Python worker gives its free memory back before it goes on to other work."""
 
@@ -36,12 +46,7 @@ def lean(scan):
         try:
             yield from scan(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return run
 
@@ -124,9 +129,12 @@ def maybe_in(keys: DataFrame, key: str):
     spark = keys.sparkSession
     place = F.shiftrightunsigned(F.xxhash64(F.lit(31), F.col(key)), 64 - FILTER_BITS)
     words = keys.where(F.col(key).isNotNull()).select(F.shiftright(place, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    # As Arrow, not as rows: a million Python objects take some hundred times their numbers' bytes.
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    del found
+    trim()
     held = spark.sparkContext.broadcast(bits.view(np.uint64))
 
     @F.pandas_udf("boolean")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, class_sample, lean, one_each, plain_text, row_hash
+from .common import bounded_batches, class_sample, lean, one_each, plain_text, row_hash, trim
 from .tokens import forget
 
 #: Labelled rows taken from each language at most (in expectation), for fitting and calibration together.
@@ -180,14 +180,17 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", key: s
             yield pa.RecordBatch.from_arrays([pa.array(picks, pa.int64()), pa.array(labels, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["pick", "label", "ids", "counts"])
 
     chosen = class_sample(rows, "label", per_class).select("text", "label", "__pick")
-    got = one_each(chosen.mapInArrow(lean(count), schema), "pick", "label").collect()
+    got = one_each(chosen.mapInArrow(lean(count), schema), "pick", "label").select("label", "ids", "counts").toArrow().to_pylist()
     got.sort(key=lambda r: (r["label"], bytes(r["ids"])))
     classes = sorted({r["label"] for r in got})
     if not classes:
         return LanguageModel([], np.zeros((BUCKETS, 0)), 1.0, 0.0, np.zeros(BUCKETS, bool), 0.0)
     texts = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got]
     number = {c: i for i, c in enumerate(classes)}
-    return train(texts, np.array([number[r["label"]] for r in got]), classes)
+    model = train(texts, np.array([number[r["label"]] for r in got]), classes)
+    del texts, got
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

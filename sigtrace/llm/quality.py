@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("trusted"), b.column("once"), x], names=["trusted", "once", "x"])
 
     found = chosen.mapInArrow(lean(scan), "trusted int, once long, x binary").groupBy("trusted", "once").agg(F.min("x").alias("x"))
-    got = sorted(found.collect(), key=lambda r: (r["trusted"], bytes(r["x"])))
+    got = sorted(found.select("trusted", "x").toArrow().to_pylist(), key=lambda r: (r["trusted"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(np.float64) if got else np.zeros((0, WIDTH))
     mark = np.array([r["trusted"] for r in got], bool)
     if not mark.any():

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, lean, maybe_in, written
+from .common import bounded_batches, discard, lean, maybe_in, trim, written
 from .components import components
 from .tokens import forget
 
@@ -316,7 +316,10 @@ def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
     once = some.mapInArrow(lean(spell), "h long, s array<long>").groupBy("h").agg(F.first("s").alias("s"))
     counts = once.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = counts.orderBy(F.col("n").desc(), "s").limit(ORDER_MOST).toPandas()
-    common, often = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    found = counts.orderBy(F.col("n").desc(), "s").limit(ORDER_MOST).toArrow()
+    common, often = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(common)
-    return common[order], often[order]
+    common, often = common[order], often[order]
+    del found
+    trim()
+    return common, often

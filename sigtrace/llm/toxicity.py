@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, class_sample, lean, one_each, plain_text, row_hash
+from .common import bounded_batches, class_sample, lean, one_each, plain_text, row_hash, trim
 from .langid import words_of
 from .tokens import forget
 
@@ -21,7 +21,7 @@ BUCKETS, FACTORS = 1 << 18, 8
 #: A term takes part if this many sampled rows hold it and it tells alone (its shares in the two classes differ by
 #: LEAST_ERRORS standard errors) or in a pair (PAIR_ERRORS, over the pairs of the PAIR_TERMS terms that divide the rows
 #: most evenly, which are all that a sample of this size can show an interaction of).
-LEAST_ROWS, LEAST_ERRORS, PAIR_ERRORS, PAIR_TERMS = 5, 4.0, 8.0, 3072
+LEAST_ROWS, LEAST_ERRORS, PAIR_ERRORS, PAIR_TERMS = 5, 4.0, 8.0, 2048
 #: Rows that calibration takes at least.
 LEAST_HELD = 100
 #: Rows that a term of a pair must be in, and must be missing from.
@@ -198,7 +198,7 @@ def sampled_terms(docs: DataFrame, labels: DataFrame, label: str, per_class: int
 
     found = both.mapInArrow(lean(scan), "key string, label int, share double, ids binary")
     found = found.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("ids"), "ids", "share")).alias("one")).select("key", "label", "one.share", "one.ids")
-    got = sorted(found.collect(), key=lambda r: (r["key"], r["label"]))
+    got = sorted(found.toArrow().to_pylist(), key=lambda r: (r["key"], r["label"]))
     y = np.array([r["label"] for r in got], np.int64)
     return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in got], y, np.array([1 / r["share"] for r in got])
 
@@ -212,7 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     rows, y, w = sampled_terms(docs.where(F.col(text_col).isNotNull()), labels, label, per_class, text_col, key)
     if not len(y):
         return ToxicityModel(np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros((0, FACTORS)), 0.0, 1.0, -40.0)
-    return train(rows, y, w)
+    model = train(rows, y, w)
+    del rows
+    trim()
+    return model
 
 
 def add_score(docs: DataFrame, model, out: str, text_col: str = "text") -> DataFrame:
