@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.llm import langid, mixing, packing, simhash, toxicity
-from sigtrace.llm.common import discard, fold, maybe_in, trim, written
+from sigtrace.llm.common import discard, fold, maybe_in, release, trim, written
 from sigtrace.llm.tokens import vocabulary
 
 
@@ -48,14 +48,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group linked at similarity 0.8 on shingles of five words.
-
     Rows that repeat both id and text of a group's kept document are further copies of it and go too. Of rows that share an
     id but not their text, each goes or stays by its own text.
     """
     names = docs.columns
-    groups = written(simhash.similar_rows(docs), "groups")
+    groups = simhash.similar_rows(docs)
     rows = groups.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("keeper").alias("keeper"))
     unsure = written(rows.where("n > 1 or row <> keeper").select(F.col("row").alias("__row"), (F.col("row") == F.col("keeper")).alias("__stays")), "unsure")
+    discard(groups)
     # Most rows are surely not among those that go or repeat; their texts need not move.
     marked = docs.withColumn("__row", simhash.row_key(simhash.own_id(), "text")).withColumn("__maybe", maybe_in(unsure, "__row")(F.col("__row")))
     alone = marked.where(~F.col("__maybe"))
@@ -97,4 +97,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = written(stage(spark, docs, sf_dir), name)
         discard(docs)  # the documents themselves are no table of ours and stay
         docs = done
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, lean, maybe_in, trim, written
+from .common import bounded_batches, discard, lean, maybe_in, release, trim, written
 from .components import components
 from .tokens import forget
 
@@ -105,7 +105,9 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, crowd: int = 64) -
         steps = [F.lit(0).cast("long")] + ([F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)] if distance else [])
         spelled = crowded.select(F.col("fp").alias("u"), F.explode(F.transform(F.array(*steps), lambda m: m.bitwiseXOR(F.col("fp")))).alias("v"))
         stars = spelled.join(crowded.withColumnRenamed("fp", "v"), "v").where("u < v").select("u", "v")
-    return pairs.unionByName(stars).distinct()
+    out = pairs.unionByName(stars).distinct()
+    out._written_to = shared._written_to  # discard() deletes what it reads
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -116,14 +118,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, text_col
     fingerprints collapse to one before any comparison, so copies in any number cost one row.
     """
     prints = written(fingerprints(docs, words, text_col, (id_col,)), "prints")
-    classes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"))
-    linked = components(links(classes.select("fp"), distance))
-    rooted = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "root", "least")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    labels = written(classes.join(named, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("component_id", "least").alias("component_id")), "labels")
+    labels = linked_prints(prints.select("fingerprint", F.col(id_col).alias("least")), distance).withColumnRenamed("least", "component_id")
     return prints.join(labels, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
+def linked_prints(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """prints(fingerprint, least) -> each fingerprint once, with the least of the group it is linked to within distance bits."""
+    classes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("least").alias("least"))
+    found = links(classes.select("fp"), distance)
+    linked = components(found)
+    rooted = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "root", "least")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("named")), "root").select("fp", "named")
+    labels = written(classes.join(named, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("named", "least").alias("least")), "labels")
+    for t in (found, linked):
+        discard(t)
+    return labels
+
+
 def hex16(fp: str | Column) -> Column:
     """16 lower-case hex digits of a 64-bit value."""
     c = F.col(fp) if isinstance(fp, str) else fp
@@ -170,10 +181,14 @@ def own_id(text_col: str = "text", id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1))
 
 
-def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id", distance: int | None = None) -> DataFrame:
     """(id, row, component_id, keeper) of every row: row_key() of it and of the row that stands for its group.
 
-    Texts equal in their words collapse to a class. A text's shingles go in one order for all texts, rare ones first as
+    Texts equal in their words collapse to a class. With a distance, classes are first grouped as near_duplicates() groups
+    them, by all links of their fingerprints of three-word shingles within distance bits; only classes of different such
+    groups are then compared, and links of either kind make one group.
+
+    A text's shingles go in one order for all texts, rare ones first as
     far as a sample tells. Of two sets of n and m shingles with a similarity of least, one must be found among the first
     n - ceil(least * n) + 1 of the one and the like of the other, so classes that share none of these need not meet; the
     order bears on the work alone. Classes of a key meet as in linked_by_keys(); number and parity of shingles rule out
@@ -189,23 +204,34 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
         forget()
         common, often = held.value
         for b in batches:
-            h1, h2, n, bits, first = [], [], [], [], []
+            h1, h2, fp, n, bits, first = [], [], [], [], [], []
             for t in b.column("text").to_pylist():
                 parts = (t or b"").lower().split()
                 both = xxhash.xxh3_128_digest(b" ".join(parts))
                 h1.append(int.from_bytes(both[:8], "little", signed=True))
                 h2.append(int.from_bytes(both[8:], "little", signed=True))
+                fp.append(0 if distance is None else fingerprint(t))
                 s = shingles(parts, words)
                 n.append(len(s))
                 bits.append(parity_map(s))
                 first.append(prefix(s, least, common, often))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["id", "row", "h1", "h2", "n", "bits", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], names=["id", "row", "h1", "h2", "fp", "n", "bits", "first"])
 
-    prints = written(rows.mapInArrow(lean(scan), "id long, row long, h1 long, h2 long, n long, bits array<long>, first array<long>"), "prints")
-    classes = prints.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first"))
+    prints = written(rows.mapInArrow(lean(scan), "id long, row long, h1 long, h2 long, fp long, n long, bits array<long>, first array<long>"), "prints")
+    classes = prints.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select("cid", F.explode("first").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("key"), "shared")
+    if distance is None:
+        start = written(classes.select("cid", F.col("cid").alias("root")), "start")
+    else:
+        labels = linked_prints(classes.select(F.col("fp").alias("fingerprint"), F.col("cid").alias("least")), distance)
+        start = written(classes.select("cid", F.col("fp").alias("fingerprint")).join(labels, "fingerprint").select("cid", F.col("least").alias("root")), "start")
+        discard(labels)
+        release(docs.sparkSession)
+    keyed = classes.select("cid", F.col("n").cast("int").alias("n"), "first").join(start, "cid").select("cid", "root", "n", F.posexplode("first").alias("at", "key"))
+    # A pair's first common key is among the first of the smaller set, by how many it must share at its own size.
+    early = F.col("at") <= F.col("n") * (1 - 2 * least / (1 + least)) + 1e-6
+    shared = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(early).alias("early")).where("a < b and early")
+    shared = written(shared.select("key"), "shared")
     members = keyed.where(maybe_in(shared, "key")(F.col("key"))).join(shared, "key")
 
     def spelled(batches):
@@ -231,6 +257,8 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
         apart = (1 - least) / (1 + least) * (F.col("nu") + F.col("nv")) + 1e-6
         may = (F.least("nu", "nv") >= least * F.greatest("nu", "nv") - 1e-6) & (odd <= apart)
         near = written(sides.where(may).select("u", "ru", "v", "rv"), "near")
+        if near.isEmpty():
+            return near
         needed = near.select(F.col("u").alias("cid")).unionByName(near.select(F.col("v").alias("cid"))).distinct()
         needed = written(classes.select("cid", F.col("rep.row").alias("row")).join(needed, "cid", "left_semi"), "needed")
         texts = rows.where(maybe_in(needed, "row")(F.col("row"))).join(needed, "row").select("cid", "text")
@@ -241,24 +269,33 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
             discard(t)
         return out
 
-    linked = linked_by_keys(members, similar)
+    linked = linked_by_keys(members, similar, least, start)
     rooted = classes.select("h1", "h2", "rep", "cid").join(linked, F.col("cid") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("root", "cid").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("rep").alias("head"))
     named = written(rooted.join(heads, "root").select("h1", "h2", F.col("head.id").alias("component_id"), F.col("head.row").alias("keeper")), "labels")
-    return prints.select("id", "row", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "row", "component_id", "keeper")
+    for t in (classes, start, shared, linked):
+        discard(t)
+    out = written(prints.select("id", "row", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "row", "component_id", "keeper"), "groups")
+    for t in (prints, named):
+        discard(t)
+    release(docs.sparkSession)
+    return out
 
 
-def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame], centres: int = CENTRES) -> DataFrame:
-    """members(key, cid) -> (node, root): the groups that all pairs sharing a key would form, root the smallest.
+def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float, start: DataFrame, centres: int = CENTRES) -> DataFrame:
+    """members(key, cid, root, n, at) -> (node, root): the groups that all pairs sharing a key would form, root the smallest.
 
-    similar takes pairs(u, ru, v, rv) and returns those that are linked. In each round a key's centres meet all its
+    start(cid, root) are the groups to begin with; a member has n keys in all, this one at place at of the common order.
+    similar takes pairs(u, ru, v, rv) and returns those that are linked. Two members need not meet in a key that leaves
+    too few places behind it for what they must share; a linked pair meets in the first key that both have. In each round a key's centres meet all its
     members of other groups and leave the key, which is done once its members are one group. Of two members the one that
     leaves first has met the other, or was in its group, so no link between groups is lost. The first round has one
     centre a key, by which a group of near copies becomes one without pairs in the square of its size; the next rounds
     have centres of as many groups as CENTRES and twice as many each time, so a key of n unlike members takes about
     log n rounds.
     """
-    held, most, links = written(members.select("key", "cid", F.col("cid").alias("root")), "held"), 1, None
+    held, most = written(members.select("key", "cid", "root", "n", "at"), "held"), 1
+    links, read = start.where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")), []
     while True:
         live = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
         now = written(held.join(live, "key"), "held")
@@ -266,23 +303,28 @@ def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
         held = now
         if held.isEmpty():
             break
-        heads = held.groupBy("key", F.pmod(F.xxhash64("root"), F.lit(most)).alias("slot")).agg(F.min(F.struct("cid", "root")).alias("c"))
-        heads = written(heads.select("key", F.col("c.cid").alias("v"), F.col("c.root").alias("rv")), "centres")
-        pairs = held.join(heads, "key").where("root <> rv").select(F.col("cid").alias("u"), F.col("root").alias("ru"), "v", "rv")
+        heads = held.groupBy("key", F.pmod(F.xxhash64("root"), F.lit(most)).alias("slot")).agg(F.min(F.struct("cid", "root", "n", "at")).alias("c"))
+        heads = written(heads.select("key", F.col("c.cid").alias("v"), F.col("c.root").alias("rv"), F.col("c.n").alias("nv"), F.col("c.at").alias("atv")), "centres")
+        alike = F.least("n", "nv") >= least * F.greatest("n", "nv") - 1e-6
+        enough = F.least(F.col("n") - F.col("at"), F.col("nv") - F.col("atv")) >= least / (1 + least) * (F.col("n") + F.col("nv")) - 1e-6
+        pairs = held.join(heads, "key").where((F.col("root") != F.col("rv")) & alike & enough).select(F.col("cid").alias("u"), F.col("root").alias("ru"), "v", "rv")
         swap = F.col("u") < F.col("v")
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.when(swap, F.col("rv")).otherwise(F.col("ru")).alias("ru"), F.least("u", "v").alias("v"), F.when(swap, F.col("ru")).otherwise(F.col("rv")).alias("rv")).distinct()
         found = similar(pairs)
-        links = found.select("u", "v") if links is None else links.unionByName(found.select("u", "v"))
+        read.append(found)
+        links = links.unionByName(found.select("u", "v"))
         joined = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
         left = held.join(heads.select("key", F.col("v").alias("cid")), ["key", "cid"], "left_anti")
         left = left.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-        now = written(left.select("key", "cid", F.coalesce("to", "root").alias("root")), "held")
-        discard(held)
-        discard(heads)
+        now = written(left.select("key", "cid", F.coalesce("to", "root").alias("root"), "n", "at"), "held")
+        for t in (held, heads, joined):
+            discard(t)
         held, most = now, max(centres, 2 * most)
-    if links is None:
-        links = members.sparkSession.createDataFrame([], "u long, v long")
-    return components(links)
+        release(members.sparkSession)
+    out = components(links)
+    for t in (held, *read):
+        discard(t)
+    return out
 
 
 def parity_map(s: np.ndarray) -> np.ndarray:

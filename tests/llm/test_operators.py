@@ -1,5 +1,6 @@
 """Each operator against brute force, held-out labels, exact round trips and awkward tables."""
 
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigtrace.llm import langid, mixing, near_vectors, packing, quality, queries, sharding, simhash, token_counts, topk, toxicity
-from sigtrace.llm.common import fold
+from sigtrace.llm.common import fold, shared_dir
 from sigtrace.llm.components import components
 from sigtrace.llm.tokens import Encoder, vocabulary
 
@@ -405,3 +406,11 @@ def test_pipeline_mix_is_in_shuffled_order(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(300)
     want = [r["doc_id"] for r in mixing.mix(docs).orderBy("out_shard", "shuffle_key").select("doc_id").collect()]
     assert [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, "").collect()] == want != sorted(want)
+
+
+def test_near_copies_leave_no_work_tables(spark, docs):
+    where = shared_dir(spark)
+    rows = [(i, t) for i, t in list(docs.text.items())[:200]] + [(10_000 + i, t + " more words") for i, t in list(docs.text.items())[:50]]
+    before = set(os.listdir(where))
+    corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {x.split("-")[0] for x in set(os.listdir(where)) - before} <= {"unsure"}
