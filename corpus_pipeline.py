@@ -47,12 +47,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group linked at similarity 0.8 on shingles of five words.
+    """Keeps the document of the smallest id of each group of near copies.
+
+    SimHash links texts whose fingerprints of three-word shingles differ in two bits at most, as op9 does; what that leaves
+    apart is compared exactly, and links at similarity 0.8 on shingles of five words too.
     Rows that repeat both id and text of a group's kept document are further copies of it and go too. Of rows that share an
     id but not their text, each goes or stays by its own text.
     """
     names = docs.columns
-    groups = simhash.similar_rows(docs)
+    groups = simhash.similar_rows(docs, distance=2)
     rows = groups.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("keeper").alias("keeper"))
     unsure = written(rows.where("n > 1 or row <> keeper").select(F.col("row").alias("__row"), (F.col("row") == F.col("keeper")).alias("__stays")), "unsure")
     discard(groups)

@@ -408,6 +408,37 @@ def test_pipeline_mix_is_in_shuffled_order(spark):
     assert [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, "").collect()] == want != sorted(want)
 
 
+def test_near_copies_by_fingerprint(spark):
+    refrain = " ".join(f"word{i}" for i in range(21))
+    rows = [(i, " ".join([refrain] * 40 + [f"{x}{j}" for j in range(10)])) for i, x in ((1, "one"), (2, "two"))] + [(3, "quite another text")]
+    a, b = (simhash.fingerprint(t.encode()) for _, t in rows[:2])
+    assert (a ^ b).bit_count() <= 2 and len(five(rows[0][1]) & five(rows[1][1])) < 0.6 * len(five(rows[0][1]) | five(rows[1][1]))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r["component_id"] for r in simhash.near_duplicates(table).collect()}) == 2
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, table, "").collect()) == [1, 3]
+
+
+def test_near_copies_keep_every_link_of_both_kinds(spark, docs):
+    texts = [t.split() for t in docs.text if len(t.split()) > 40][:60]
+    rows = [(10 * i + j, " ".join(c)) for i, w in enumerate(texts) for j, c in enumerate((w, w[: int(0.84 * len(w))], [*w[:5], "changed", *w[6:]], w[: int(0.6 * len(w))]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.similar_rows(table, distance=2).toPandas().set_index("doc_id").component_id
+    sets, fp = {i: five(t) for i, t in rows}, {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, a in enumerate(sorted(sets)):
+        for b in sorted(sets)[:n]:
+            if (fp[a] ^ fp[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert all(got[i] == find(i) for i in sets)
+
+
 def test_near_copies_leave_no_work_tables(spark, docs):
     where = shared_dir(spark)
     rows = [(i, t) for i, t in list(docs.text.items())[:200]] + [(10_000 + i, t + " more words") for i, t in list(docs.text.items())[:50]]
