@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, lean, maybe_in, release, trim, written
+from .common import bounded_batches, discard, in_one, lean, maybe_in, release, trim, written
 from .components import components
 from .tokens import forget
 
@@ -122,11 +122,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, text_col
     return prints.join(labels, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-def linked_prints(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """prints(fingerprint, least) -> each fingerprint once, with the least of the group it is linked to within distance bits."""
+def linked_prints(prints: DataFrame, distance: int = 2, few: int = 0) -> DataFrame:
+    """prints(fingerprint, least) -> each fingerprint once, with the least of the group it is linked to within distance bits.
+
+    few is that of components().
+    """
     classes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("least").alias("least"))
     found = links(classes.select("fp"), distance)
-    linked = components(found)
+    linked = components(found, few=few)
     rooted = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "root", "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("named")), "root").select("fp", "named")
     labels = written(classes.join(named, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("named", "least").alias("least")), "labels")
@@ -147,6 +150,8 @@ MAP_LONGS = 8
 ORDER_ROWS, ORDER_MOST = 20_000, 1 << 18
 #: Members of a key that meet all others there in its second round; twice as many in each round after it.
 CENTRES = 16
+#: Links, and members of keys, that one task takes; and the pairs of members that it may meet. More are dealt to all tasks.
+FEW, FEW_PAIRS = 1 << 17, 1 << 22
 
 
 def shingles(parts: list[bytes], words: int) -> np.ndarray:
@@ -223,7 +228,7 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
     if distance is None:
         start = written(classes.select("cid", F.col("cid").alias("root")), "start")
     else:
-        labels = linked_prints(classes.select(F.col("fp").alias("fingerprint"), F.col("cid").alias("least")), distance)
+        labels = linked_prints(classes.select(F.col("fp").alias("fingerprint"), F.col("cid").alias("least")), distance, FEW)
         start = written(classes.select("cid", F.col("fp").alias("fingerprint")).join(labels, "fingerprint").select("cid", F.col("least").alias("root")), "start")
         discard(labels)
         release(docs.sparkSession)
@@ -250,22 +255,33 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of pairs(u, ru, v, rv) those whose texts are similar."""
+        pairs, known = written(pairs, "pairs"), classes
+        if few := pairs.count() <= FEW:
+            pairs = in_one(pairs)
+            met = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).coalesce(1).distinct()
+            # A few numbers go to all tasks, so that the classes need not move.
+            known = in_one(written(classes.join(F.broadcast(met), "cid", "left_semi").select("cid", "n", "bits", "rep"), "met"))
         sides = pairs
         for side in ("u", "v"):
-            sides = sides.join(classes.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")), side)
+            sides = sides.join(known.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")), side)
         odd = sum((F.bit_count(F.get("bu", F.lit(k)).bitwiseXOR(F.get("bv", F.lit(k)))) for k in range(MAP_LONGS)), F.lit(0))
         apart = (1 - least) / (1 + least) * (F.col("nu") + F.col("nv")) + 1e-6
         may = (F.least("nu", "nv") >= least * F.greatest("nu", "nv") - 1e-6) & (odd <= apart)
         near = written(sides.where(may).select("u", "ru", "v", "rv"), "near")
+        discard(pairs)
         if near.isEmpty():
+            if few:
+                discard(known)
             return near
-        needed = near.select(F.col("u").alias("cid")).unionByName(near.select(F.col("v").alias("cid"))).distinct()
-        needed = written(classes.select("cid", F.col("rep.row").alias("row")).join(needed, "cid", "left_semi"), "needed")
-        texts = rows.where(maybe_in(needed, "row")(F.col("row"))).join(needed, "row").select("cid", "text")
-        texts = written(texts.mapInArrow(lean(spelled), "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s")), "shingles")
-        both = near.join(texts.select(F.col("cid").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("cid").alias("v"), F.col("s").alias("sv")), "v")
+        near = in_one(near) if few else near
+        needed = near.select(F.col("u").alias("cid")).unionByName(near.select(F.col("v").alias("cid")))
+        needed = (needed.coalesce(1) if few else needed).distinct()
+        needed = written(known.select("cid", F.col("rep.row").alias("row")).join(needed, "cid", "left_semi"), "needed")
+        texts = rows.join(F.broadcast(needed), "row") if few else rows.where(maybe_in(needed, "row")(F.col("row"))).join(needed, "row")
+        texts = written(texts.select("cid", "text").mapInArrow(lean(spelled), "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s")), "shingles")
+        both = (F.broadcast(near) if few else near).join(texts.select(F.col("cid").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("cid").alias("v"), F.col("s").alias("sv")), "v")
         out = written(both.select("u", "ru", "v", "rv", "su", "sv").mapInArrow(lean(verify), "u long, ru long, v long, rv long"), "similar")
-        for t in (near, needed, texts):
+        for t in (near, needed, texts, *([known] if few else [])):
             discard(t)
         return out
 
@@ -292,19 +308,21 @@ def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
     leaves first has met the other, or was in its group, so no link between groups is lost. The first round has one
     centre a key, by which a group of near copies becomes one without pairs in the square of its size; the next rounds
     have centres of as many groups as CENTRES and twice as many each time, so a key of n unlike members takes about
-    log n rounds.
+    log n rounds. Rounds of few members and pairs are one task, without a shuffle.
     """
     held, most = written(members.select("key", "cid", "root", "n", "at"), "held"), 1
     links, read = start.where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")), []
     while True:
+        held, few = _few(held, most)
         live = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
         now = written(held.join(live, "key"), "held")
         discard(held)
-        held = now
-        if held.isEmpty():
+        held, few = _few(now, most)
+        if few == 0:
             break
         heads = held.groupBy("key", F.pmod(F.xxhash64("root"), F.lit(most)).alias("slot")).agg(F.min(F.struct("cid", "root", "n", "at")).alias("c"))
         heads = written(heads.select("key", F.col("c.cid").alias("v"), F.col("c.root").alias("rv"), F.col("c.n").alias("nv"), F.col("c.at").alias("atv")), "centres")
+        heads = in_one(heads) if few else heads
         alike = F.least("n", "nv") >= least * F.greatest("n", "nv") - 1e-6
         enough = F.least(F.col("n") - F.col("at"), F.col("nv") - F.col("atv")) >= least / (1 + least) * (F.col("n") + F.col("nv")) - 1e-6
         pairs = held.join(heads, "key").where((F.col("root") != F.col("rv")) & alike & enough).select(F.col("cid").alias("u"), F.col("root").alias("ru"), "v", "rv")
@@ -313,7 +331,9 @@ def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
         found = similar(pairs)
         read.append(found)
         links = links.unionByName(found.select("u", "v"))
-        joined = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        joined = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")), few=FEW)
+        if few:
+            joined = in_one(joined)
         left = held.join(heads.select("key", F.col("v").alias("cid")), ["key", "cid"], "left_anti")
         left = left.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
         now = written(left.select("key", "cid", F.coalesce("to", "root").alias("root"), "n", "at"), "held")
@@ -321,12 +341,18 @@ def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
             discard(t)
         held, most = now, max(centres, 2 * most)
         release(members.sparkSession)
-    out = components(links)
+    out = components(links, few=FEW)
     for t in (held, *read):
         discard(t)
     return out
 
 
+def _few(held: DataFrame, most: int) -> tuple[DataFrame, int | None]:
+    """held, and its number of rows if one task takes a round of it with most centres a key (then in one partition), else None."""
+    n = held.count()
+    return (in_one(held), n) if n <= FEW and n * most <= FEW_PAIRS else (held, None)
+
+
 def parity_map(s: np.ndarray) -> np.ndarray:
     """Which of 64 * MAP_LONGS cells hold an odd number of the values: two maps differ in no more cells than the sets in values."""
     cells = np.bincount((s & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64), minlength=64 * MAP_LONGS) & 1

@@ -445,3 +445,50 @@ def test_near_copies_leave_no_work_tables(spark, docs):
     before = set(os.listdir(where))
     corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert {x.split("-")[0] for x in set(os.listdir(where)) - before} <= {"unsure"}
+
+
+def _tasks(spark, group, run):
+    """What run returns, and how many tasks its jobs had in all."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    state = spark.sparkContext.statusTracker()
+    stages = {s for j in state.getJobIdsForGroup(group) for s in state.getJobInfo(j).stageIds}
+    return out, sum(x.numCompletedTasks for s in stages if (x := state.getStageInfo(s)))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_links_join_alike_in_one_task_and_in_rounds(spark, few):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 2000 + i) for i in range(40)] + [(7, 7), (None, 3), (-(1 << 63), (1 << 63) - 1)]
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in root:
+        for u, v in edges:
+            if u in root and v in root and u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()]
+    assert len(got) == len(root) and dict(got) == root
+    assert components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
+
+
+def test_small_rounds_do_not_multiply_tasks(spark, docs, monkeypatch):
+    """The rounds over a few members and links cost tasks of the driver's memory, however many partitions a shuffle has."""
+    texts = [" ".join(f"w{i}x{j % (60 + i % 3)}" for j in range(i % 7, 60)) + f" tail{i}" for i in range(40)] + [f"one two three four five six {i} " + " ".join(f"{i}y{j}" for j in range(30)) for i in range(60)]
+    texts += [t + " and more" for t in texts[::3]] + [t.replace("y7", "z7") for t in texts[1::5]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got, tasks = _tasks(spark, "few", lambda: sorted(map(tuple, simhash.similar_rows(table, distance=2).collect())))
+        monkeypatch.setattr(simhash, "FEW", 0)
+        spread, many = _tasks(spark, "spread", lambda: sorted(map(tuple, simhash.similar_rows(table, distance=2).collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == spread and len({g[2] for g in got}) < len(texts)
+    print("tasks", tasks, "spread", many)
+    assert 2 * tasks < many
