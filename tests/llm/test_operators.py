@@ -270,6 +270,25 @@ def test_near_vectors_recall(spark):
     assert got.kept.sum() == (got.component_id == got.vec_id).sum() and got.kept.sum() <= 1500
 
 
+def test_near_vectors_lose_no_pair(spark, monkeypatch):
+    """Pairs on borders of shards, of a dense group's edge and of shards that cannot be cut: all links, none left to recall."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1000, 48))
+    near = base[:600] + rng.normal(size=(600, 48)) * 0.31
+    group = base[0] + rng.normal(size=(300, 48)) * rng.uniform(0.05, 0.4, size=(300, 1))
+    x = np.concatenate([base, near, group, base[:20] * 2, base[:20]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(near_vectors, "PART", 32768, raising=False)
+    got = near_vectors.near_vectors(df, cap=60).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    alike = u @ u.T >= 0.95
+    assert got.n_links.tolist() == (alike.sum(axis=1) - 1).tolist()
+    root = np.arange(len(x))
+    while (root != (now := np.array([root[n].min() for n in alike]))).any():
+        root = now
+    assert got.component_id.tolist() == root.tolist()
+
+
 def test_near_vectors_awkward(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 0.0]), (None, [1.0, 0.0]), (6, [1.0]), (7, [1.0, 0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
