@@ -232,7 +232,7 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
         start = written(classes.select("cid", F.col("fp").alias("fingerprint")).join(labels, "fingerprint").select("cid", F.col("least").alias("root")), "start")
         discard(labels)
         release(docs.sparkSession)
-    keyed = classes.select("cid", F.col("n").cast("int").alias("n"), "first").join(start, "cid").select("cid", "root", "n", F.posexplode("first").alias("at", "key"))
+    keyed = classes.select("cid", F.col("n").cast("int").alias("n"), "bits", "first").join(start, "cid").select("cid", "root", "n", "bits", F.posexplode("first").alias("at", "key"))
     # A pair's first common key is among the first of the smaller set, by how many it must share at its own size.
     early = F.col("at") <= F.col("n") * (1 - 2 * least / (1 + least)) + 1e-6
     shared = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(early).alias("early")).where("a < b and early")
@@ -255,33 +255,21 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of pairs(u, ru, v, rv) those whose texts are similar."""
-        pairs, known = written(pairs, "pairs"), classes
-        if few := pairs.count() <= FEW:
-            pairs = in_one(pairs)
-            met = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).coalesce(1).distinct()
-            # A few numbers go to all tasks, so that the classes need not move.
-            known = in_one(written(classes.join(F.broadcast(met), "cid", "left_semi").select("cid", "n", "bits", "rep"), "met"))
-        sides = pairs
-        for side in ("u", "v"):
-            sides = sides.join(known.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}")), side)
-        odd = sum((F.bit_count(F.get("bu", F.lit(k)).bitwiseXOR(F.get("bv", F.lit(k)))) for k in range(MAP_LONGS)), F.lit(0))
-        apart = (1 - least) / (1 + least) * (F.col("nu") + F.col("nv")) + 1e-6
-        may = (F.least("nu", "nv") >= least * F.greatest("nu", "nv") - 1e-6) & (odd <= apart)
-        near = written(sides.where(may).select("u", "ru", "v", "rv"), "near")
-        discard(pairs)
-        if near.isEmpty():
-            if few:
-                discard(known)
+        near = written(pairs, "near")
+        n = near.count()
+        if not n:
             return near
+        few = n <= FEW
         near = in_one(near) if few else near
-        needed = near.select(F.col("u").alias("cid")).unionByName(near.select(F.col("v").alias("cid")))
-        needed = (needed.coalesce(1) if few else needed).distinct()
-        needed = written(known.select("cid", F.col("rep.row").alias("row")).join(needed, "cid", "left_semi"), "needed")
+        needed = near.select(F.col("u").alias("cid")).unionByName(near.select(F.col("v").alias("cid"))).distinct()
+        # A few numbers go to all tasks, so that the classes need not move.
+        needed = written(classes.select("cid", F.col("rep.row").alias("row")).join(F.broadcast(needed) if few else needed, "cid", "left_semi"), "needed")
+        needed = in_one(needed) if few else needed
         texts = rows.join(F.broadcast(needed), "row") if few else rows.where(maybe_in(needed, "row")(F.col("row"))).join(needed, "row")
         texts = written(texts.select("cid", "text").mapInArrow(lean(spelled), "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s")), "shingles")
         both = (F.broadcast(near) if few else near).join(texts.select(F.col("cid").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("cid").alias("v"), F.col("s").alias("sv")), "v")
         out = written(both.select("u", "ru", "v", "rv", "su", "sv").mapInArrow(lean(verify), "u long, ru long, v long, rv long"), "similar")
-        for t in (near, needed, texts, *([known] if few else [])):
+        for t in (near, needed, texts):
             discard(t)
         return out
 
@@ -299,18 +287,20 @@ def similar_rows(docs: DataFrame, words: int = 5, least: float = 0.8, text_col:
 
 
 def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float, start: DataFrame, centres: int = CENTRES) -> DataFrame:
-    """members(key, cid, root, n, at) -> (node, root): the groups that all pairs sharing a key would form, root the smallest.
+    """members(key, cid, root, n, bits, at) -> (node, root): the groups that all pairs sharing a key would form, root the smallest.
 
-    start(cid, root) are the groups to begin with; a member has n keys in all, this one at place at of the common order.
-    similar takes pairs(u, ru, v, rv) and returns those that are linked. Two members need not meet in a key that leaves
-    too few places behind it for what they must share; a linked pair meets in the first key that both have. In each round a key's centres meet all its
+    start(cid, root) are the groups to begin with; a member has n keys in all, this one at place at of the common order,
+    and the parity map bits of all. similar takes pairs(u, ru, v, rv) and returns those that are linked. Two members need
+    not meet in a key that leaves too few places behind it for what they must share; a linked pair meets in the first key
+    that both have. Nor need they if their maps differ in more cells than two sets that are similar enough in values: the
+    join itself looks at the maps, so that of a family of unlike members few pairs become rows. In each round a key's centres meet all its
     members of other groups and leave the key, which is done once its members are one group. Of two members the one that
     leaves first has met the other, or was in its group, so no link between groups is lost. The first round has one
     centre a key, by which a group of near copies becomes one without pairs in the square of its size; the next rounds
     have centres of as many groups as CENTRES and twice as many each time, so a key of n unlike members takes about
     log n rounds. Rounds of few members and pairs are one task, without a shuffle.
     """
-    held, most = written(members.select("key", "cid", "root", "n", "at"), "held"), 1
+    held, most = written(members.select("key", "cid", "root", "n", "bits", "at"), "held"), 1
     links, read = start.where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")), []
     while True:
         held, few = _few(held, most)
@@ -320,12 +310,14 @@ def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
         held, few = _few(now, most)
         if few == 0:
             break
-        heads = held.groupBy("key", F.pmod(F.xxhash64("root"), F.lit(most)).alias("slot")).agg(F.min(F.struct("cid", "root", "n", "at")).alias("c"))
-        heads = written(heads.select("key", F.col("c.cid").alias("v"), F.col("c.root").alias("rv"), F.col("c.n").alias("nv"), F.col("c.at").alias("atv")), "centres")
+        heads = held.groupBy("key", F.pmod(F.xxhash64("root"), F.lit(most)).alias("slot")).agg(F.min(F.struct("cid", "root", "n", "at", "bits")).alias("c"))
+        heads = written(heads.select("key", F.col("c.cid").alias("v"), F.col("c.root").alias("rv"), F.col("c.n").alias("nv"), F.col("c.at").alias("atv"), F.col("c.bits").alias("bv")), "centres")
         heads = in_one(heads) if few else heads
         alike = F.least("n", "nv") >= least * F.greatest("n", "nv") - 1e-6
         enough = F.least(F.col("n") - F.col("at"), F.col("nv") - F.col("atv")) >= least / (1 + least) * (F.col("n") + F.col("nv")) - 1e-6
-        pairs = held.join(heads, "key").where((F.col("root") != F.col("rv")) & alike & enough).select(F.col("cid").alias("u"), F.col("root").alias("ru"), "v", "rv")
+        odd = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bv", F.lit(k)))) for k in range(MAP_LONGS)), F.lit(0))
+        apart = (1 - least) / (1 + least) * (F.col("n") + F.col("nv")) + 1e-6
+        pairs = held.join(heads, "key").where((F.col("root") != F.col("rv")) & alike & enough & (odd <= apart)).select(F.col("cid").alias("u"), F.col("root").alias("ru"), "v", "rv")
         swap = F.col("u") < F.col("v")
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.when(swap, F.col("rv")).otherwise(F.col("ru")).alias("ru"), F.least("u", "v").alias("v"), F.when(swap, F.col("ru")).otherwise(F.col("rv")).alias("rv")).distinct()
         found = similar(pairs)
@@ -336,7 +328,7 @@ def linked_by_keys(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
             joined = in_one(joined)
         left = held.join(heads.select("key", F.col("v").alias("cid")), ["key", "cid"], "left_anti")
         left = left.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-        now = written(left.select("key", "cid", F.coalesce("to", "root").alias("root"), "n", "at"), "held")
+        now = written(left.select("key", "cid", F.coalesce("to", "root").alias("root"), "n", "bits", "at"), "held")
         for t in (held, heads, joined):
             discard(t)
         held, most = now, max(centres, 2 * most)

@@ -511,3 +511,24 @@ def test_small_rounds_do_not_multiply_tasks(spark, docs, monkeypatch):
     assert got == spread and len({g[2] for g in got}) < len(texts)
     print("tasks", tasks, "spread", many)
     assert 2 * tasks < many
+
+
+def test_families_of_unlike_texts_give_few_pairs(spark, monkeypatch):
+    """Texts that share rare shingles but are not similar: the join rules their pairs out, so few have to be verified."""
+    rng = np.random.default_rng(21)
+    made = rng.choice(3, size=(150, 110), p=[0.88, 0.06, 0.06])
+    texts = [" ".join(f"w{k}v{v}" for k, v in enumerate(row)) for row in made]
+    texts += [t + " more" for t in texts[:10]]
+    met, real = [], simhash.linked_by_keys
+
+    def counted(members, similar, *rest):
+        def look(pairs):
+            met.append(pairs.count())
+            return similar(pairs)
+
+        return real(members, look, *rest)
+
+    monkeypatch.setattr(simhash, "linked_by_keys", counted)
+    got = simhash.similar_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").component_id
+    assert sum(met) <= 40
+    assert [got[i] for i in range(160)] == [*range(150), *range(10)]
