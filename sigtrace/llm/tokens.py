@@ -14,8 +14,8 @@ import numpy as np
 #: Pieces up to this many bytes are remembered, this many in each of two generations.
 CACHED_BYTES, CACHED_PIECES = 48, 250_000
 
-#: Between an ASCII letter and such a mark the vocabulary always splits, so white space there changes no id.
-_MARK = re.compile(rb"(?<=[A-Za-z])(?=[.,!?;:])")
+#: Between an ASCII letter (1) and such a mark (2) the vocabulary always splits, so white space there changes no id.
+_KIND = bytes(1 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" else 2 if chr(c) in ".,!?;:" else 0 for c in range(256))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -40,6 +40,42 @@ def drops_white_space(vocabulary: dict) -> bool:
     return steps == _LOWERS and (first.get("pattern") or {}).get("Regex") == _SPLITS and first.get("behavior") == "Removed" and first.get("invert") is True
 
 
+#: Letters in lower case that are composed already: normaliser and splitter leave a piece of them as it is.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary names each byte: itself if it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def keeps_letters(vocabulary: dict) -> bool:
+    """Whether a piece of such letters alone goes byte by byte to the model of a vocabulary, so that the other steps may be left out."""
+    rest = ((vocabulary.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[1:]
+    plain = len(rest) == 1 and all(n.get("type") == "ByteLevel" and not n.get("add_prefix_space", True) and not n.get("use_regex", True) for n in rest)
+    model = vocabulary.get("model") or {}
+    whole = model.get("type") == "BPE" and not model.get("dropout") and not vocabulary.get("truncation") and not vocabulary.get("padding")
+    return drops_white_space(vocabulary) and plain and whole and not any(t["content"].isalpha() for t in vocabulary.get("added_tokens") or [])
+
+
+def spaced(text: bytes) -> bytes:
+    """The text with a space between each ASCII letter and a mark behind it."""
+    kind = np.frombuffer(text.translate(_KIND), np.uint8)
+    at = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1))
+    if not len(at):
+        return text
+    kept = np.ones(len(text) + len(at), bool)
+    kept[at + np.arange(1, len(at) + 1)] = False
+    out = np.full(len(kept), 32, np.uint8)
+    out[kept] = np.frombuffer(text, np.uint8)
+    return out.tobytes()
+
+
 def _as_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian numbers of four bytes."""
     return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
@@ -60,7 +96,8 @@ class Encoder:
     """ids(text) equals the tokenizer's own ids, without special tokens added.
 
     A vocabulary that lowers case, drops white space and never joins across it gives a text the ids of its pieces between
-    ASCII white space, one after another. Frequent pieces are looked up, in two generations of bounded size: when the
+    ASCII white space, one after another; pieces of lower letters alone go to its model
+    directly. Frequent pieces are looked up, in two generations of bounded size: when the
     younger is full it becomes the older, and what is still in use moves up. With any other vocabulary whole texts are
     encoded. Invalid UTF-8 counts as replacement characters.
     """
@@ -71,13 +108,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_pieces = drops_white_space(json.load(f))
+            vocabulary = json.load(f)
+        self.by_pieces = drops_white_space(vocabulary)
+        self.model = self.tokenizer.model if keeps_letters(vocabulary) else None
         if plain_specials:
             self.tokenizer.encode_special_tokens = True
         self.known, self.older = _Pieces(self.found), {}
 
     def encoded(self, piece: bytes) -> bytes:
-        return _as_bytes(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        text = piece.decode("utf-8", "replace")
+        if self.model is not None and _LETTERS(text):
+            named = text if text.isascii() else piece.decode("latin-1").translate(_BYTE_LETTERS)
+            return _as_bytes([t.id for t in self.model.tokenize(named)])
+        return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def found(self, piece: bytes) -> bytes:
         """The ids of a piece that the younger generation lacks; it is remembered unless it is long."""
@@ -94,7 +137,7 @@ class Encoder:
             return np.frombuffer(self.encoded(text), "<u4")
         if b"<|" not in text:  # special strings are told apart by case
             text = text.lower()
-        joined = b"".join(map(self.known.__getitem__, _MARK.sub(b" ", text).split()))
+        joined = b"".join(map(self.known.__getitem__, spaced(text).split()))
         if len(self.known) > CACHED_PIECES:
             self.known, self.older = _Pieces(self.found), self.known
         return np.frombuffer(joined, "<u4")
